@@ -10,14 +10,18 @@ cut, so equal stretches of different payloads give equal chunks.
    bytes), written to the shared folder.
 2. *Deduplication*: media with the same digest keep one list; of the media that
    have a chunk, the one of the least id owns it.  Both are aggregations over
-   digests alone, combined before their shuffle.
-3. *Store and read back*: the chunks, compressed with a small shared zstandard
-   dictionary, are joined to the references that want them by (digest, owner),
-   so a chunk that many media share is kept once; the chunks of a medium are
-   then brought together in order.
-4. *Reconstruction*: chunks are decompressed and joined; the bytes must have the
-   medium's digest, else the job fails.  Samples are read from the WAV and
-   features are computed from them.
+   digests alone, combined before their shuffle, and joins give each medium the
+   chunks that it lacks and those that others want of it.
+3. *Store*: each medium's chunks, compressed with a small shared zstandard
+   dictionary, go to its row once.  A medium that lacks nothing is read back
+   there.  Of the others only the chunks they own are kept, and of all only the
+   chunks that others want, each once; these are written to the shared folder.
+4. *Reconstruction*: lacking chunks are joined to the store by their digest, and
+   a medium's chunks are brought together in order.  They are decompressed and
+   joined; the bytes must have the medium's digest, else the job fails.
+   Samples are read from the WAV and features are computed from them.
+
+So chunk bytes move once, and shared ones once more.
 
 Documents get the features of their medium by its digest, so a text that many
 documents share is reconstructed once.
@@ -155,6 +159,22 @@ def _manifests(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "media_bytes", "media", "digests"])
 
 
+STORED = "kind int, media binary, idx int, digest binary, data binary, payload_sha256 string, tail_crc32 long, feature string"
+_NOBODY = -(2**63)  # an id that no row has, for rows without an id
+
+
+def _described(media: bytes, key: bytes) -> tuple[str, int, str]:
+    """What is read back from a stored medium."""
+    if hashlib.sha256(media).digest() != key:
+        raise ValueError(f"medium {key.hex()} was not reconstructed")
+    payload = from_wav(media)
+    return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), features(payload)
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+
 def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every row."""
     spark = docs.sparkSession
@@ -162,61 +182,66 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     coded = spark.sparkContext.broadcast(_dictionary(docs, text_col))
     manifest = written(source.mapInArrow(_manifests, MANIFEST), "manifest")
 
-    # an id that no row has, for rows without an id
-    keyed = manifest.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "media", "digests")
-    media = keyed.groupBy("media").agg(F.min("doc").alias("doc"), F.first("digests").alias("digests"))
+    media = manifest.groupBy("media").agg(F.min(F.coalesce("doc_id", F.lit(_NOBODY))).alias("doc"), F.first("digests").alias("digests"))
     refs = media.select("media", "doc", F.posexplode("digests").alias("idx", "digest"))
     owners = refs.groupBy("digest").agg(F.min("doc").alias("owner"))
-    wanted = refs.drop("doc").join(owners, "digest")
+    lacking = written(refs.join(owners, "digest").where("owner <> doc"), "lacking")
+    info = (
+        media.select("media", "doc")
+        .join(lacking.groupBy("media").agg(F.collect_list("idx").alias("lacks")), "media", "left")
+        .join(lacking.groupBy(F.col("owner").alias("doc")).agg(F.collect_set("digest").alias("wanted")), "doc", "left")
+    )
 
     def emit(batches):
         pack = _coder(coded.value)[0]
         for b in batches:
-            docs_, digests, data = [], [], []
+            rows = []
             for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                seen = set()
-                for c in chunks(to_wav(payload_of(text))):
-                    d = digest(c)
-                    if d not in seen:
-                        seen.add(d)
-                        docs_.append(-(2**63) if doc is None else doc)
-                        digests.append(d)
-                        data.append(pack(c))
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(digests, pa.binary()), pa.array(data, pa.binary())], names=["owner", "digest", "data"])
-
-    store = source.mapInArrow(emit, "owner long, digest binary, data binary")
-    parts = store.join(wanted, ["digest", "owner"]).select("media", "idx", "data")
+                wav = to_wav(payload_of(text))
+                rows.append((_NOBODY if doc is None else doc, hashlib.sha256(wav).digest(), [pack(c) for c in chunks(wav)]))
+            yield _batch(rows, ["doc", "media", "chunks"], [pa.int64(), pa.binary(), pa.list_(pa.binary())])
 
-    def rebuild(batches):
-        unpack = _coder(coded.value)[1]
-        out: list[list] = [[] for _ in range(4)]
-        key, pieces = None, {}
-
-        def close():
-            if key is None:
-                return
-            media = b"".join(unpack(pieces[i]) for i in sorted(pieces))
-            if hashlib.sha256(media).digest() != key:
-                raise ValueError(f"medium {key.hex()} was not reconstructed")
-            payload = from_wav(media)
-            for x, v in zip(out, (key, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), features(payload)), strict=True):
-                x.append(v)
+    store = source.mapInArrow(emit, "doc long, media binary, chunks array<binary>")
+    names = [f.split()[0] for f in STORED.split(", ")]
+    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.string()]
 
-        def batch():
-            made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.binary(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["media", "payload_sha256", "tail_crc32", "feature"])
-            for x in out:
-                x.clear()
-            return made
+    def keep(batches):
+        """Kind 0: a medium read back; 1: a chunk of a medium that lacks others; 2: a chunk that others want."""
+        unpack = _coder(coded.value)[1]
+        for b in batches:
+            rows = []
+            for key, own, lacks, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                raw = [unpack(c) for c in own]
+                if lacks:
+                    rows += [(1, key, i, None, c, None, None, None) for i, c in enumerate(own) if i not in set(lacks)]
+                else:
+                    rows.append((0, key, None, None, None, *_described(b"".join(raw), key)))
+                if wanted:
+                    rows += [(2, None, None, d, c, None, None, None) for d, c in {digest(r): c for r, c in zip(raw, own, strict=True)}.items() if d in set(wanted)]
+            yield _batch(rows, names, kinds)
+
+    kept = written(store.join(info, ["doc", "media"]).select("media", "chunks", "lacks", "wanted").mapInArrow(keep, STORED), "chunks")
+    fetched = kept.where("kind = 2").select("digest", "data").join(lacking.select("media", "idx", "digest"), "digest").select("media", "idx", "data")
+    parts = kept.where("kind = 1").select("media", "idx", "data").unionAll(fetched)
 
+    def rebuild(batches):
+        unpack = _coder(coded.value)[1]
+        key, pieces, rows = None, {}, []
+        close = lambda: (key, *_described(b"".join(unpack(pieces[i]) for i in sorted(pieces)), key))
+        found, found_kinds = ["media", "payload_sha256", "tail_crc32", "feature"], [pa.binary(), pa.string(), pa.int64(), pa.string()]
         for b in batches:
-            for m, i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for m, i, d in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if m != key:
-                    close()
+                    if key is not None:
+                        rows.append(close())
                     key, pieces = m, {}
                 pieces[i] = d
-            yield batch()
-        close()
-        yield batch()
-
-    found = parts.repartition("media").sortWithinPartitions("media", "idx").mapInArrow(rebuild, FOUND)
-    return manifest.drop("digests").join(found, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
+            yield _batch(rows, found, found_kinds)
+            rows = []
+        if key is not None:
+            yield _batch([close()], found, found_kinds)
+
+    rebuilt = parts.repartition("media").sortWithinPartitions("media", "idx").mapInArrow(rebuild, FOUND)
+    # a medium comes twice where ids repeat
+    done = kept.where("kind = 0").select("media", "payload_sha256", "tail_crc32", "feature").unionAll(rebuilt).dropDuplicates(["media"])
+    return manifest.drop("digests").join(done, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
