@@ -85,7 +85,7 @@ class PieceTable:
             keys[slot[first]], ids[slot[first]] = hashes[left[first]], left[first] + 1
             self.levels.append((mult, keys, ids))
             left = np.delete(left, first)
-            mult = mult * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+            mult = np.uint64(int(mult) * 0xD6E8FEB86659FD93 % 2**64 | 1)
 
     @staticmethod
     def _hash(p: str) -> int:

@@ -29,14 +29,15 @@ SENTENCES = {
     "apache-copy": "you may obtain a copy of the license at",
     "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
-    "apache-spdx": "spdx license identifier: apache 2.0",
+    "spdx": "spdx license identifier",
+    "spdx-apache": "apache 2.0",
     "mit-notice": "released under the mit license",
     "mit-licensed": "licensed under the mit license",
     "mit-name": "mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-condition": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "mit-spdx": "spdx license identifier: mit",
+    "spdx-mit": "mit",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
@@ -49,14 +50,14 @@ SENTENCES = {
     "gpl2-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
     "gpl-received": "you should have received a copy of the gnu general public license along with this program",
-    "gpl3-spdx": "spdx license identifier: gpl 3.0 only",
+    "spdx-gpl3": "gpl 3.0 only",
     "cc-by-nc": "licensed under cc by nc 4.0",
     "cc-by": "licensed under cc by 4.0",
     "cc-by-sa": "licensed under cc by sa 4.0",
     "cc0": "licensed under cc0 1.0",
     "cc-by-work": "this work is licensed under a creative commons attribution 4.0 international license",
     "cc-by-nc-work": "this work is licensed under a creative commons attribution noncommercial 4.0 international license",
-    "mpl-form": "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    "mpl-form": "this source code form is subject to the terms of the mozilla public license v",
     "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at",
     "rights": "all rights reserved",
 }
@@ -73,20 +74,20 @@ RULES = [
     ("gpl-3.0", ("gpl-free", "gpl3-terms")),
     ("gpl-2.0", ("gpl-free", "gpl2-terms")),
     ("mpl-2.0", ("mpl-form", "mpl-copy")),
+    ("apache-2.0", ("spdx", "spdx-apache")),
+    ("mit", ("spdx", "spdx-mit")),
+    ("gpl-3.0", ("spdx", "spdx-gpl3")),
     ("apache-2.0", ("apache-may-not",)),
     ("apache-2.0", ("apache-notice",)),
     ("apache-2.0", ("apache-name",)),
-    ("apache-2.0", ("apache-spdx",)),
     ("mit", ("mit-notice",)),
     ("mit", ("mit-licensed",)),
     ("mit", ("mit-grant",)),
-    ("mit", ("mit-spdx",)),
     ("mit", ("mit-name",)),
     ("bsd", ("bsd-notice",)),
     ("gpl-3.0", ("gpl3-work",)),
     ("gpl-3.0", ("gpl3-notice",)),
     ("gpl-3.0", ("gpl3-terms",)),
-    ("gpl-3.0", ("gpl3-spdx",)),
     ("gpl-2.0", ("gpl2-terms",)),
     ("cc-by-nc-4.0", ("cc-by-nc",)),
     ("cc-by-nc-4.0", ("cc-by-nc-work",)),

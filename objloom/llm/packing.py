@@ -100,6 +100,8 @@ def plan(counts: dict[int, int], *, capacity: int = CAPACITY, max_docs: int | No
     no more sequences are used than tokens alone would need.
     """
     docs_cap, cost_cap = max_docs or capacity, max_cost or capacity * capacity
+    if counts and (docs_cap < 1 or max(counts) > capacity or max(counts) ** 2 > cost_cap):
+        raise ValueError("a piece alone exceeds a bin's capacities")
     caps = np.array([capacity, docs_cap, cost_cap], float)
     wt = np.asarray(weights)
     states: dict[tuple[int, int, int], list[list[int]]] = {}
