@@ -150,10 +150,6 @@ def resolve(entries: DataFrame, fmt: str = "sha1", external: DataFrame | None =
     by_offset = entries.where("entry_type = 'ofs'").select("pack", F.col("offset").alias("own"), F.col("base_offset").alias("offset"), F.col("payload").alias("delta"))
     by_id = entries.where("entry_type = 'ref'").select("pack", F.col("offset").alias("own"), F.col("base_oid").alias("oid"), F.col("payload").alias("delta"))
     done = front = cut(front)
-    if external is not None:
-        packs = entries.select("pack").distinct()
-        wide = external.join(by_id.select("oid").distinct(), "oid", "left_semi")
-        front = front.unionByName(wide.crossJoin(packs).select("pack", F.lit(-1).cast("long").alias("offset"), "otype", "content", F.lit(0).alias("depth"), "oid"))  # one row for each pack
     depth = 0
     while True:
         depth += 1
@@ -163,9 +159,14 @@ def resolve(entries: DataFrame, fmt: str = "sha1", external: DataFrame | None =
         )
         new = applied(pairs).where("error IS NULL").select("pack", F.col("own").alias("offset"), "otype", "content", F.lit(depth).alias("depth")).withColumn("oid", oid(F.col("otype"), F.col("content"), fmt))
         new = cut(new.dropDuplicates(["pack", "offset"]).join(done.select("pack", "offset"), ["pack", "offset"], "left_anti"))
-        if depth > C.MAX_DEPTH or new.isEmpty():
+        if depth <= C.MAX_DEPTH and not new.isEmpty():
+            done, front = cut(done.unionByName(new)), new
+        elif external is not None:  # what the packs themselves can't give
+            wanted = by_id.withColumnRenamed("own", "offset").join(done.select("pack", "offset"), ["pack", "offset"], "left_anti").select("pack", "oid").distinct()
+            front = cut(wanted.join(external.select("oid", "otype", "content"), "oid").select("pack", F.lit(-1).cast("long").alias("offset"), "otype", "content", F.lit(0).alias("depth"), "oid"))
+            external, depth = None, 0
+        else:
             return done.select("pack", "offset", "otype", "content", "oid", "depth")
-        done, front = cut(done.unionByName(new)), new
 
 
 def missing_bases(entries: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import pyarrow as pa
@@ -104,7 +105,9 @@ def loose_refs(spark: SparkSession, folder: str, fmt: str = "sha1") -> DataFrame
         kind, target = C.parse_loose_ref(data, fmt)
         yield {"name": name, "kind": kind, "target_id": target if kind == "direct" else None, "target_name": target if kind == "symbolic" else None}
 
-    files = binary(spark, folder, "*").where(F.col("path").rlike("/(?:refs/.+|[A-Z_]+)$") & ~F.col("path").endswith(".lock"))
+    # below refs/, or a capital-letter name at the top: logs and objects aren't read
+    below = F.regexp_extract("path", "[^/:]*//*" + re.escape(root).replace("\\/", "/").lstrip("/") + "(.*)$", 1)
+    files = binary(spark, folder, "*").where(below.rlike("^(?:refs/.+|[A-Z_]+)$") & ~F.col("path").endswith(".lock"))
     return _decoded(files, "path string, name string, kind string, target_id binary, target_name string, error string", rows)
 
 

@@ -39,7 +39,7 @@ def test_edges_and_native_plan(spark):
 
 def test_every_sentence_is_its_own_normal_form(spark):
     rows = [(i, s) for i, s in enumerate(licenses.SENTENCES)]
-    df = spark.createDataFrame([(i, licenses.SENTENCES[k]) for i, k in rows], "doc_id long, text string")
+    df = spark.createDataFrame([(i, licenses.SENTENCES[k] + "\nlicense") for i, k in rows], "doc_id long, text string")
     got = by_id(licenses.recognise(df))
     assert [got[i].sentence_ids for i, _ in rows] == [k for _, k in rows]
 
