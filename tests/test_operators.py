@@ -198,3 +198,34 @@ def test_a_repository_on_disk(spark, tmp_path):
     e = packs.scan(S.pack_files(spark, top))
     assert sorted(r.oid.hex() for r in packs.resolve(e).collect()) == sorted(x.split(":")[0] for x in listed)
     assert S.pack_indexes(spark, top).where("error IS NULL").count() == len(listed)
+
+
+def test_writers(spark, tmp_path):
+    from objloom.sources import writers as Wr
+
+    texts = [b"one", b"two" * 50, b"two" * 50 + b"!"]
+    pack = C.build_pack([("blob", texts[0]), ("blob", texts[1]), ("ofs", C.build_delta(texts[1], texts[2]), 1)], "sha1")
+    files = spark.createDataFrame([("p", pack)], "pack string, content binary")
+    e = packs.scan(files.withColumnRenamed("pack", "path"))
+    rows = packs.resolve(e).join(e.select("pack", "offset", "crc32"), ["pack", "offset"])
+    made = Wr.pack_artifacts(files, rows)
+    assert [r.path.rsplit(".")[-1] for r in made.orderBy("step").collect()] == list(Wr.ORDER)
+    for _ in range(2):
+        Wr.write_files(made, str(tmp_path / "pack"))
+    assert len(list((tmp_path / "pack").iterdir())) == 4
+    found = S.pack_indexes(spark, str(tmp_path / "pack")).where("error IS NULL").select("oid").collect()
+    assert {bytes(r.oid) for r in found} == {C.object_id("blob", t, "sha1") for t in texts}
+    assert S.reverse_indexes(spark, str(tmp_path / "pack")).count() == 3
+    own, read = packs.bloom(rows.select("pack", "oid")), S.bloom_filters(spark, str(tmp_path / "pack"))
+    key = lambda df: sorted((r.bucket, r.word, r.mask) for r in df.collect())
+    assert key(own) == key(read)
+    if shutil.which("git"):
+        out = subprocess.run(["git", "verify-pack", "-v", *map(str, (tmp_path / "pack").glob("*.idx"))], capture_output=True, check=True).stdout.decode()
+        assert all(C.object_id("blob", t, "sha1").hex() in out for t in texts)
+
+    objects = stores.with_ids(spark.createDataFrame([(t,) for t in texts], "content binary"), F.col("content"))
+    Wr.write_files(Wr.loose_files(objects), str(tmp_path / "loose"))
+    assert sorted(r.size for r in S.loose_objects(spark, str(tmp_path / "loose")).collect()) == [3, 150, 151]
+    known = spark.createDataFrame([("refs/heads/a", "direct", b"\1" * 20, None), ("HEAD", "symbolic", None, "refs/heads/a")], "name string, kind string, target_id binary, target_name string")
+    Wr.write_files(Wr.loose_ref_files(known), str(tmp_path / "top"))
+    assert {(r.name, r.target_name or bytes(r.target_id)) for r in S.loose_refs(spark, str(tmp_path / "top")).collect()} == {("refs/heads/a", b"\1" * 20), ("HEAD", "refs/heads/a")}
