@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 #: A word: lower-cased ASCII letters and digits, and everything outside ASCII.
 WORD_TABLE = bytes(
@@ -52,6 +53,16 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def first_texts(docs: DataFrame, text_col: str, rows: int, chars: int = 65_536) -> list[str]:
+    """At most rows texts that aren't null, each cut to chars, for what only saves work (caches, dictionaries).
+
+    take() reads partitions one after another until it has enough; limit()
+    before another operator would move that many rows from *every* partition.
+    """
+    short = docs.select(F.substring(F.col(text_col), 1, chars).alias("t")).where("t IS NOT NULL")
+    return [r.t for r in short.take(rows)]
+
+
 def appended(docs: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], reads: str) -> DataFrame:
     """docs with columns appended by an Arrow function.
 
@@ -79,8 +90,8 @@ def appended(docs: DataFrame, fields: list[T.StructField], make: Callable[[], Ca
 
 
 def held_out(column: str, parts: int, part: int):
-    """True where crc32(the id as text) mod parts is part."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % parts == part
+    """True where crc32(the id as text) mod parts is part; false without an id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -101,6 +112,24 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
     return w
 
 
+def bounded_sample(rows: DataFrame, key: str, per_key: int, id_col: str, max_keys: int = 200) -> DataFrame:
+    """At most per_key rows of each of the max_keys most frequent keys: those with the least hash of their id.
+
+    A first pass counts keys; rows then pass if their hash is below twice the
+    share that is wanted, so what meets in one task is about 2 * per_key rows
+    of a key, whatever the number of rows and of partitions.
+    """
+    spark = rows.sparkSession
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), key).limit(max_keys).toArrow()
+    if not counts.num_rows:
+        return rows.limit(0)
+    share = F.broadcast(spark.createDataFrame(counts).select(F.col(key), F.least(F.lit(1.0), 2.0 * per_key / F.col("_n")).alias("_share")))  # max_keys rows
+    hashed = rows.withColumn("_h", F.xxhash64(id_col))
+    passed = hashed.join(share, key).where((F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)) < F.col("_share"))
+    first = W.partitionBy(key).orderBy("_h", id_col)
+    return passed.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_key).select(*rows.columns)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
     """Texts and labels of at most per_class rows of each class, for fitting.
 
@@ -113,10 +142,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
         .where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id", 3, 1))
         .groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z")
-        .withColumn("_h", F.xxhash64(F.col("_id")))
     )
-    ids = rows.where("_y = 0").orderBy("_h", "_id").limit(per_class).unionAll(rows.where("_y = 1").orderBy("_h", "_id").limit(per_class))
-    picked = ids.select("_id", "_y").toArrow()
+    picked = bounded_sample(rows.select("_id", "_y"), "_y", per_class, "_id").toArrow()
     spark = docs.sparkSession
     if not picked.num_rows:
         return [], []

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from objloom.llm.common import appended, held_out
+from objloom.llm.common import appended, bounded_sample, held_out
 
 FIT_DOCS = 1_500
 FIT_WORDS = 30_000
@@ -192,8 +192,7 @@ def fit(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "
     """Fit on rows whose crc32(id as text) mod 4 is not 2."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).where("_lang IS NOT NULL AND _id IS NOT NULL").where(~held_out("_id", 4, 2))
-    top = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = rows.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= per_language).drop("_r").dropDuplicates().limit(per_language * MAX_LANGUAGES)
+    picked = bounded_sample(rows, "_lang", per_language, "_id", MAX_LANGUAGES).dropDuplicates()
     sample = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(picked), ["_id", "_lang"], "left_semi")
 
     def count(batches):
