@@ -101,7 +101,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER = r"[^a-z0-9\n.!?;:]+"
 CUT = r" *[.!?;:]* *\n[ \n]*|[.!?;:]+ +"
 END = r"^[ .!?;:]+|[ .!?;:]+$"
-#: What a text must contain for any sentence to be known; it only saves work.
+#: A text without any of these words has no known sentence, so it needn't be cut.
 HINT = "licen|redistribut|copyright|permission|mpl|free software|rights reserved|warranty"
 
 
