@@ -68,12 +68,22 @@ def bloom(entries: DataFrame, probes: int = C.PROBES) -> DataFrame:
 
 
 def bloom_probe(ids: DataFrame, filters: DataFrame, probes: int = C.PROBES) -> DataFrame:
-    """(pack, oid, maybe): whether each pack's filter may contain each id."""
-    sizes = filters.select("pack", "buckets").distinct().withColumn("lead", F.round(F.log2("buckets")).cast("int"))
-    asked = ids.crossJoin(F.broadcast(sizes)).withColumn("b", F.explode(bloom_bits(F.col("oid"), F.col("lead"), probes))).select("pack", "oid", "b.*")  # one row for each pack
-    have = filters.select("pack", "bucket", "word", F.col("mask").alias("have"))
-    hit = F.col("mask").bitwiseAND(F.coalesce("have", F.lit(0))) == F.col("mask")
-    return asked.join(have, ["pack", "bucket", "word"], "left").groupBy("pack", "oid").agg(F.bool_and(hit).alias("maybe"))
+    """(pack, oid) of the packs whose filter may contain an id.
+
+    An id's probes depend on a filter's size alone, so they are computed once
+    for each of the (at most 32) sizes there are, and joined to the words of
+    the filters of that size: only words that exist are met, never all pairs of
+    ids and packs.
+    """
+    sized = filters.withColumn("lead", F.round(F.log2("buckets")).cast("int"))
+    leads = sorted(r.lead for r in sized.select("lead").distinct().collect())  # powers of two up to 2**31
+    if not leads:
+        return ids.select(F.lit(None).cast(filters.schema["pack"].dataType).alias("pack"), "oid").limit(0)
+    asked = ids.select("oid").distinct().withColumn("lead", F.explode(F.array(*map(F.lit, leads)))).withColumn("bits", bloom_bits(F.col("oid"), F.col("lead"), probes))
+    asked = asked.withColumn("words", F.size(F.array_distinct(F.transform("bits", lambda b: b["word"])))).withColumn("b", F.explode("bits"))
+    asked = asked.groupBy("oid", "lead", "words", "b.bucket", "b.word").agg(F.bit_or("b.mask").alias("mask"))
+    hits = asked.join(sized.select("pack", "lead", "bucket", "word", F.col("mask").alias("have")), ["lead", "bucket", "word"]).where(F.col("mask").bitwiseAND(F.col("have")) == F.col("mask"))
+    return hits.groupBy("pack", "oid", "words").agg(F.count("*").alias("n")).where("n = words").select("pack", "oid")
 
 
 def find(ids: DataFrame, indexes: DataFrame, priority: DataFrame) -> DataFrame:

@@ -93,19 +93,15 @@ def commit(refs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The references after an atomic transaction, and its first error (no rows if there is none, else references stay)."""
     ops = prepared(refs, updates)
     first = ops.where("error IS NOT NULL").agg(F.min_by(F.struct("seq", "name", "error", "phase"), F.struct("phase", "seq")).alias("e")).where("e IS NOT NULL").select("e.*")
-    failed = first.select(F.lit(True).alias("failed"))
-    new = ops.where(~F.col("kind").startswith("verify")).select(
-        F.col("target").alias("name"), F.col("kind").startswith("delete").alias("gone"),
-        F.when(F.col("kind").endswith("-symbolic"), "symbolic").otherwise("direct").alias("new_kind"), "new_id", "new_target",
-    )
-    after = refs.join(new, "name", "full").crossJoin(F.broadcast(failed.agg(F.count("*").alias("n_failed"))))  # one row: whether it failed
-    keep = (F.col("n_failed") > 0) | F.col("new_kind").isNull()
-    pick = lambda old, new_: F.when(keep, F.col(old)).otherwise(F.col(new_)).alias(old)
-    after = after.where(F.when(F.col("n_failed") > 0, F.col("kind").isNotNull()).otherwise(~F.coalesce("gone", F.lit(False))))
-    symbolic = F.col("new_kind") == "symbolic"
+    if not first.isEmpty():
+        return refs, first
+    symbolic = F.col("op").endswith("-symbolic")
+    new = ops.where(~F.col("kind").startswith("verify")).select(F.col("target").alias("name"), F.col("kind").alias("op"), "new_id", "new_target")
+    after = refs.join(new, "name", "full").where(~F.coalesce(F.col("op").startswith("delete"), F.lit(False)))
+    kept = F.col("op").isNull()
     return after.select(
-        "name", pick("kind", "new_kind"), F.when(keep, F.col("target_id")).when(~symbolic, F.col("new_id")).alias("target_id"),
-        F.when(keep, F.col("target_name")).when(symbolic, F.col("new_target")).alias("target_name"),
+        "name", F.when(kept, F.col("kind")).when(symbolic, "symbolic").otherwise("direct").alias("kind"),
+        F.when(kept, F.col("target_id")).when(~symbolic, F.col("new_id")).alias("target_id"), F.when(kept, F.col("target_name")).when(symbolic, F.col("new_target")).alias("target_name"),
     ), first
 
 

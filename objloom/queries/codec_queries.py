@@ -161,7 +161,8 @@ def quarantine_view(spark, sf_dir):
     store = b.where("d % 2 = 0")
     q = stores.Quarantine(store, "unused")
     q.add(b)
-    return q.view().agg(F.count("*").alias("visible")).crossJoin(store.agg(F.count("*").alias("published")))  # one row each
+    both = q.view().select(F.lit(1).alias("v"), F.lit(0).alias("p")).unionAll(store.select(F.lit(0), F.lit(1)))
+    return both.agg(F.sum("v").alias("visible"), F.sum("p").alias("published"))
 
 
 @query("SELECT k AS kind, count(DISTINCT doc_id // 50)::BIGINT AS n, i AS step FROM documents, (VALUES ('pack', 0), ('rev', 1), ('bloom', 2), ('idx', 3)) AS v(k, i) WHERE text IS NOT NULL GROUP BY k, i")

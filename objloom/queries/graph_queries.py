@@ -128,12 +128,12 @@ ends AS (SELECT walk.name, walk.cur, walk.cycle, r.target_id FROM walk LEFT JOIN
 
 def symrefs(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    n = c.agg(F.count("*").alias("n"))
+    n = c.count()
     key, fifth = F.col("c_custkey"), F.col("c_custkey") % 5 == 0
     name = lambda x: F.concat(F.lit("refs/alias/"), x.cast("string"))
-    return c.crossJoin(F.broadcast(n)).select(  # one row
+    return c.select(
         name(key).alias("name"), F.when(fifth, "direct").otherwise("symbolic").alias("kind"), F.when(fifth, F.sha1(F.col("c_name").cast("binary"))).alias("target_id"),
-        F.when(~fifth, name((key * 3 + 1) % (F.col("n") + 20) + 1)).alias("target_name"),
+        F.when(~fifth, name((key * 3 + 1) % (n + 20) + 1)).alias("target_name"),
     )
 
 

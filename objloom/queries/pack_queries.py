@@ -54,11 +54,11 @@ def bloom_build(spark, sf_dir):
 q AS (SELECT DISTINCT sha1(encode(c_name)) AS oid FROM customer UNION SELECT oid FROM d WHERE pack = 1), l2 AS (SELECT n.pack, q.oid, round(log2(buckets))::INT AS lead, unhex(q.oid)::BIT AS bits FROM q, n),
 p2 AS (SELECT pack, oid, CASE WHEN lead = 0 THEN 0 ELSE list_reduce(list_transform(range(lead), lambda i: get_bit(bits, i::INT)), lambda a, b: a * 2 + b)::BIGINT END AS bucket,
  list_reduce(list_transform(range(9), lambda i: get_bit(bits, (lead + 9 * k + i)::INT)), lambda a, b: a * 2 + b)::INT AS field FROM l2, range(8) r(k))
-SELECT pack, oid, bool_and(f.field IS NOT NULL) AS maybe FROM p2 LEFT JOIN f USING (pack, bucket, field) GROUP BY pack, oid""")
+SELECT pack, oid FROM p2 LEFT JOIN f USING (pack, bucket, field) GROUP BY pack, oid HAVING bool_and(f.field IS NOT NULL)""")
 def bloom_probe(spark, sf_dir):
     e = entries(spark, sf_dir)
     ids = table(spark, sf_dir, "customer").select(F.unhex(F.sha1(F.col("c_name").cast("binary"))).alias("oid")).unionAll(e.where("pack = 1").select("oid")).distinct()
-    return packs.bloom_probe(ids, packs.bloom(e)).select("pack", F.lower(F.hex("oid")).alias("oid"), "maybe")
+    return packs.bloom_probe(ids, packs.bloom(e)).select("pack", F.lower(F.hex("oid")).alias("oid"))
 
 
 @query("SELECT o_orderkey AS n, greatest(1, pow(2, ceil(log2(ceil(o_orderkey / 48.0))))::BIGINT) AS buckets FROM orders")
