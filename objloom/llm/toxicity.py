@@ -11,8 +11,9 @@ window of some ``WINDOW`` bytes (cut at spaces, covering the whole text)
 measures what toxic text explains and ordinary text doesn't.
 
 Calibration: a logistic regression, on the half of the sample that the
-dictionaries haven't seen, over the numbers of windows that save at least so
-many bytes, the rate of one of them, the bytes of the best window, and their sum.
+dictionaries haven't seen, over the numbers of windows that save at least 3 and
+4 bytes, the rates of those that save 2 and 3, the bytes of the best window,
+and their sum.
 
 The sample has at most ``PER_CLASS`` labelled rows of each class, only of rows
 whose crc32(id as text) mod 3 is not 1 (see ``labelled_sample``); labels, lang,
@@ -37,7 +38,7 @@ from objloom.llm.common import appended, labelled_sample, logistic
 
 PER_CLASS = 2_000
 WINDOW = 72
-BASE_BYTES = 16_384
+BASE_BYTES = 65_536
 TOXIC_BYTES = 16_384
 LIFT = 8.0
 #: Least log-likelihood ratios of a toxic segment; the one that calibrates best is taken.
@@ -82,9 +83,10 @@ class Pair:
     def features(self, text: str | None) -> np.ndarray:
         s = self.saved(text)
         if not len(s):
-            return np.zeros(len(SAVED) + 3)
-        over = [int((s >= k).sum()) for k in SAVED]
-        return np.array([*np.log1p(over), np.log1p(max(0.0, s.max())), 10 * over[1] / len(s), np.log1p(s[s >= SAVED[1]].sum())])
+            return np.zeros(6)
+        low, mid, high = (int((s >= k).sum()) for k in SAVED)
+        # small savings happen by chance, so of those only the rate tells
+        return np.array([np.log1p(mid), np.log1p(high), np.log1p(max(0.0, s.max() - SAVED[0])), 10 * low / len(s), 10 * mid / len(s), np.log1p(s[s >= SAVED[1]].sum())])
 
 
 def toxic_segments(texts: list[str], y: list[int], least: float, limit: int = TOXIC_BYTES, lift: float = LIFT) -> bytes:
