@@ -30,13 +30,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from objloom.llm.common import appended
+from objloom.llm.common import appended, first_texts
 
 TABLE_ROWS = 32_768
-SAMPLE_ROWS = 1_000
+SAMPLE_ROWS = 500
 CACHE_ROWS = 400_000
 
 _ODD = re.compile(r" \s")
@@ -104,18 +103,12 @@ class Lookup(dict):
 
 def frequent_table(docs: DataFrame, path: str, text_col: str = "text", rows: int = TABLE_ROWS, sample: int = SAMPLE_ROWS) -> dict[str, int]:
     """The most frequent pre-tokens of a bounded sample and their token counts."""
-
-    def count(batches):
-        counts: Counter[str] = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(pre_tokens(t)[1:])
-        enc = Encoder(path)
-        top = [k for k, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:rows] if len(k) <= 64 and not enc.is_special(" " + k)]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([len(enc.piece(" " + k)) for k in top], pa.int32())], names=["unit", "n"])
-
-    got = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL").limit(sample).mapInArrow(count, "unit string, n int").toArrow()
-    return dict(zip(got["unit"].to_pylist(), got["n"].to_pylist(), strict=True))
+    counts: Counter[str] = Counter()
+    for t in first_texts(docs, text_col, sample):
+        counts.update(pre_tokens(t)[1:])
+    enc = Encoder(path)
+    top = [k for k, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:rows] if len(k) <= 64 and not enc.is_special(" " + k)]
+    return {k: len(enc.piece(" " + k)) for k in top}
 
 
 def count_tokens(docs: DataFrame, path: str, *, text_col: str = "text", limit: int = 1024, table_rows: int = TABLE_ROWS) -> DataFrame:
