@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from objloom.llm.common import utf8, written
+from objloom.llm.common import first_texts, utf8, written
 
 BLOCK = 192
 RATE = 8000
@@ -121,19 +121,13 @@ FOUND = "media binary, payload_sha256 string, tail_crc32 long, feature string"
 
 def _dictionary(docs: DataFrame, text_col: str) -> bytes:
     """A zstandard dictionary from a bounded sample; it affects the stored size, never results."""
+    import zstandard as z
 
-    def train(batches):
-        import zstandard as z
-
-        own = [x for b in batches for t in utf8(b.column(0)) for x in chunks(to_wav(payload_of(t)))][: 8 * SAMPLE_ROWS]
-        try:
-            made = z.train_dictionary(DICT_BYTES, own, level=LEVEL).as_bytes()
-        except z.ZstdError:
-            made = b""
-        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["d"])
-
-    rows = docs.select(F.col(text_col).alias("t")).where("t IS NOT NULL").limit(SAMPLE_ROWS).mapInArrow(train, "d binary").take(1)
-    return bytes(rows[0].d) if rows else b""
+    own = [x for t in first_texts(docs, text_col, SAMPLE_ROWS) for x in chunks(to_wav(payload_of(t.encode())))]
+    try:
+        return z.train_dictionary(DICT_BYTES, own, level=LEVEL).as_bytes()
+    except z.ZstdError:
+        return b""
 
 
 def _coder(dictionary: bytes):
