@@ -9,19 +9,22 @@ cut, so equal stretches of different payloads give equal chunks.
 1. *Manifests*: each medium's digest and its ordered list of chunk digests (no
    bytes), written to the shared folder.
 2. *Deduplication*: media with the same digest keep one list; of the media that
-   have a chunk, the one of the least id owns it.  Both are aggregations over
+   have a chunk, the one of the least digest owns it.  Both are aggregations over
    digests alone, combined before their shuffle, and joins give each medium the
    chunks that it lacks and those that others want of it.
-3. *Store*: each medium's chunks, compressed with a small shared zstandard
-   dictionary, go to its row once.  A medium that lacks nothing is read back
-   there.  Of the others only the chunks they own are kept, and of all only the
-   chunks that others want, each once; these are written to the shared folder.
-4. *Reconstruction*: lacking chunks are joined to the store by their digest, and
-   a medium's chunks are brought together in order.  They are decompressed and
-   joined; the bytes must have the medium's digest, else the job fails.
-   Samples are read from the WAV and features are computed from them.
-
-So chunk bytes move once, and shared ones once more.
+3. *Store*: every distinct chunk, compressed with a small shared zstandard
+   dictionary, is written once to the shared folder, with its digest, in the row
+   of the medium that owns it; so are the media's ordered lists and the
+   dictionary.  ``chunk_table`` gives the store as rows of digest and data.
+4. *Reconstruction*: every medium is rebuilt from the written store by its list.
+   One that owns all its chunks finds them by digest in its row; to the others
+   lacking chunks are joined by digest, and a medium's chunks are brought
+   together in order.  Each chunk must have its digest, and the joined bytes the
+   medium's, else the job fails.  Samples are read from the WAV and features are
+   computed from them.
+
+So chunk bytes move once before they are written, and once or twice more in
+media that share chunks.
 
 Documents get the features of their medium by its digest, so a text that many
 documents share is reconstructed once.
@@ -52,6 +55,7 @@ LEVEL = 6
 SAMPLE_ROWS = 400
 DICT_BYTES = 65_536
 HEADER = 44
+SLICE = 256
 
 #: The gear table: a fixed pseudo-random 32-bit number for each byte.
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4).digest() for b in range(256)), "<u4")
@@ -140,8 +144,15 @@ def _coder(dictionary: bytes):
     return z.ZstdCompressor(level=LEVEL, dict_data=d, write_dict_id=False, write_checksum=False).compress, z.ZstdDecompressor(dict_data=d).decompress
 
 
-def _manifests(batches):
+def _slices(batches):
+    """Batches of at most SLICE rows, so that a worker holds few decoded payloads at once."""
     for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
+def _manifests(batches):
+    for b in _slices(batches):
         out: list[list] = [[] for _ in range(6)]
         for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
             payload = payload_of(text)
@@ -153,10 +164,18 @@ def _manifests(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "media_bytes", "media", "digests"])
 
 
-STORED = "kind int, media binary, idx int, digest binary, data binary, payload_sha256 string, tail_crc32 long, feature string"
+STORED = "media binary, digests array<binary>, lacks array<int>, chunks array<struct<digest:binary,data:binary,wanted:boolean>>"
 _NOBODY = -(2**63)  # an id that no row has, for rows without an id
 
 
+def _chunk(key: bytes, data: bytes, unpack) -> bytes:
+    """The bytes of a stored chunk."""
+    raw = unpack(data)
+    if digest(raw) != key:
+        raise ValueError(f"chunk {key.hex()} was not reconstructed")
+    return raw
+
+
 def _described(media: bytes, key: bytes) -> tuple[str, int, str]:
     """What is read back from a stored medium."""
     if hashlib.sha256(media).digest() != key:
@@ -169,73 +188,92 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
+def chunk_table(store: DataFrame) -> DataFrame:
+    """digest and data of a written store's chunks."""
+    return store.select(F.explode("chunks").alias("c")).select("c.digest", "c.data")
+
+
 def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every row."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    coded = spark.sparkContext.broadcast(_dictionary(docs, text_col))
+    dictionary = written(spark.createDataFrame([(bytearray(_dictionary(docs, text_col)),)], "dictionary binary"), "dictionary")
+    coded = spark.sparkContext.broadcast(bytes(dictionary.head().dictionary))
     manifest = written(source.mapInArrow(_manifests, MANIFEST), "manifest")
 
     media = manifest.groupBy("media").agg(F.min(F.coalesce("doc_id", F.lit(_NOBODY))).alias("doc"), F.first("digests").alias("digests"))
-    refs = media.select("media", "doc", F.posexplode("digests").alias("idx", "digest"))
-    owners = refs.groupBy("digest").agg(F.min("doc").alias("owner"))
-    lacking = written(refs.join(owners, "digest").where("owner <> doc"), "lacking")
-    info = (
-        media.select("media", "doc")
-        .join(lacking.groupBy("media").agg(F.collect_list("idx").alias("lacks")), "media", "left")
-        .join(lacking.groupBy(F.col("owner").alias("doc")).agg(F.collect_set("digest").alias("wanted")), "doc", "left")
+    refs = media.select("media", F.posexplode("digests").alias("idx", "digest"))
+    owners = refs.groupBy("digest").agg(F.min("media").alias("owner"))
+    lacking = written(refs.join(owners, "digest").where("owner <> media"), "lacking")
+    info = media.join(lacking.groupBy("media").agg(F.collect_list("idx").alias("lacks")), "media", "left").join(
+        lacking.groupBy(F.col("owner").alias("media")).agg(F.collect_set("digest").alias("wanted")), "media", "left"
     )
 
     def emit(batches):
         pack = _coder(coded.value)[0]
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
                 wav = to_wav(payload_of(text))
                 rows.append((_NOBODY if doc is None else doc, hashlib.sha256(wav).digest(), [pack(c) for c in chunks(wav)]))
-            yield _batch(rows, ["doc", "media", "chunks"], [pa.int64(), pa.binary(), pa.list_(pa.binary())])
-
-    store = source.mapInArrow(emit, "doc long, media binary, chunks array<binary>")
-    names = [f.split()[0] for f in STORED.split(", ")]
-    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.string()]
+            yield _batch(rows, ["doc", "media", "packed"], [pa.int64(), pa.binary(), pa.list_(pa.binary())])
 
     def keep(batches):
-        """Kind 0: a medium read back; 1: a chunk of a medium that lacks others; 2: a chunk that others want."""
+        """The chunks that each medium owns, each once, with the medium's ordered list."""
+        kinds = [pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary()), ("wanted", pa.bool_())]))]
+        for b in _slices(batches):
+            rows = []
+            for key, packed, listed, lacks, wanted in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                lost, others = set(lacks or ()), set(wanted or ())
+                own = {d: c for i, (d, c) in enumerate(zip(listed, packed, strict=True)) if i not in lost}
+                rows.append((key, listed, lacks, [{"digest": d, "data": c, "wanted": d in others} for d, c in own.items()]))
+            yield _batch(rows, ["media", "digests", "lacks", "chunks"], kinds)
+
+    # the same row twice is one row of the store; the join has dealt and sorted rows by these keys already
+    placed = source.mapInArrow(emit, "doc long, media binary, packed array<binary>").join(info, ["doc", "media"]).dropDuplicates(["doc", "media"])
+    store = written(placed.select("media", "packed", "digests", "lacks", "wanted").mapInArrow(keep, STORED), "chunks")
+
+    found, found_kinds = ["media", "payload_sha256", "tail_crc32", "feature"], [pa.binary(), pa.string(), pa.int64(), pa.string()]
+
+    def read_back(batches):
+        """Media that own all their chunks, from the row of the store by the list of digests."""
         unpack = _coder(coded.value)[1]
-        for b in batches:
+        for b in _slices(batches):
             rows = []
-            for key, own, lacks, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = [unpack(c) for c in own]
-                if lacks:
-                    rows += [(1, key, i, None, c, None, None, None) for i, c in enumerate(own) if i not in set(lacks)]
-                else:
-                    rows.append((0, key, None, None, None, *_described(b"".join(raw), key)))
-                if wanted:
-                    rows += [(2, None, None, d, c, None, None, None) for d, c in {digest(r): c for r, c in zip(raw, own, strict=True)}.items() if d in set(wanted)]
-            yield _batch(rows, names, kinds)
-
-    kept = written(store.join(info, ["doc", "media"]).select("media", "chunks", "lacks", "wanted").mapInArrow(keep, STORED), "chunks")
-    fetched = kept.where("kind = 2").select("digest", "data").join(lacking.select("media", "idx", "digest"), "digest").select("media", "idx", "data")
-    parts = kept.where("kind = 1").select("media", "idx", "data").unionAll(fetched)
+            for key, listed, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                have = {c["digest"]: _chunk(c["digest"], c["data"], unpack) for c in own}
+                rows.append((key, *_described(b"".join(have[d] for d in listed), key)))
+            yield _batch(rows, found, found_kinds)
+
+    def pieces_of(batches):
+        """The chunks that a medium has itself, at each of their places in its list."""
+        for b in _slices(batches):
+            rows = []
+            for key, listed, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                have = {c["digest"]: c["data"] for c in own}
+                rows += [(key, i, d, have[d]) for i, d in enumerate(listed) if d in have]
+            yield _batch(rows, ["media", "idx", "digest", "data"], [pa.binary(), pa.int32(), pa.binary(), pa.binary()])
+
+    shared = chunk_table(store.select(F.filter("chunks", lambda c: c["wanted"]).alias("chunks")))
+    fetched = shared.join(lacking.select("media", "idx", "digest"), "digest").select("media", "idx", "digest", "data")
+    parts = store.where("lacks IS NOT NULL").select("media", "digests", "chunks").mapInArrow(pieces_of, "media binary, idx int, digest binary, data binary").unionAll(fetched)
 
     def rebuild(batches):
         unpack = _coder(coded.value)[1]
         key, pieces, rows = None, {}, []
-        close = lambda: (key, *_described(b"".join(unpack(pieces[i]) for i in sorted(pieces)), key))
-        found, found_kinds = ["media", "payload_sha256", "tail_crc32", "feature"], [pa.binary(), pa.string(), pa.int64(), pa.string()]
-        for b in batches:
-            for m, i, d in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+        close = lambda: (key, *_described(b"".join(pieces[i] for i in sorted(pieces)), key))
+        for b in _slices(batches):
+            for m, i, d, c in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if m != key:
                     if key is not None:
                         rows.append(close())
                     key, pieces = m, {}
-                pieces[i] = d
+                pieces[i] = _chunk(d, c, unpack)
             yield _batch(rows, found, found_kinds)
             rows = []
         if key is not None:
             yield _batch([close()], found, found_kinds)
 
     rebuilt = parts.repartition("media").sortWithinPartitions("media", "idx").mapInArrow(rebuild, FOUND)
-    # a medium comes twice where ids repeat
-    done = kept.where("kind = 0").select("media", "payload_sha256", "tail_crc32", "feature").unionAll(rebuilt).dropDuplicates(["media"])
+    done = store.where("lacks IS NULL").select("media", "digests", "chunks").mapInArrow(read_back, FOUND).unionAll(rebuilt)
     return manifest.drop("digests").join(done, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")

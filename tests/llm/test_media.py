@@ -36,6 +36,25 @@ def test_round_trip_with_shared_stretches(spark):
     assert media.store_media(docs.where("false")).count() == 0
 
 
+def test_store_alone_gives_every_medium(spark, monkeypatch):
+    """Every distinct chunk is written once, and the written tables give back all media, also those that share nothing."""
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    shared = noise(20_000)
+    texts = [noise(9000), noise(300), "", shared, noise(3000) + shared, noise(2000) + shared + shared]
+    docs = frame(spark, texts)
+    paths, keep = {}, media.written
+    monkeypatch.setattr(media, "written", lambda df, name: paths.setdefault(name, keep(df, name)))
+    check(media.store_media(docs.unionAll(docs)).collect(), texts)
+    rows = media.chunk_table(paths["chunks"]).collect()
+    unpack = media._coder(bytes(paths["dictionary"].head().dictionary))[1]
+    store = {bytes(x.digest): unpack(bytes(x.data)) for x in rows}
+    want = [media.to_wav(media.payload_of(t.encode())) for t in texts]
+    assert len(rows) == len(store) and set(store) == {media.digest(c) for w in want for c in media.chunks(w)}
+    lists = {x.doc_id: x.digests for x in paths["manifest"].collect()}
+    assert [b"".join(store[bytes(d)] for d in lists[i]) for i in range(len(texts))] == want
+
+
 def test_rows_without_id(spark):
     rows = media.store_media(spark.createDataFrame([(None, "a"), (None, "b"), (1, "b")], "doc_id long, text string")).collect()
     assert len(rows) == 3 and len({r.media_sha256 for r in rows}) == 2
