@@ -1,19 +1,20 @@
 """Operator 7: toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text.  The *ordinary* one is
-trained on ordinary texts.  The *toxic* one holds the same content, nearest to
-the text, and before it the segments trained on toxic text: words whose share
-of toxic documents is many times that of ordinary ones, the strongest nearest.
-As the shared content lies at the same distance in both, a window of clean text
-compresses to the same length under either; a window that holds toxic segments
-is shorter under the toxic one.  So the difference of the two lengths of each
-window of some ``WINDOW`` bytes (cut at spaces, covering the whole text)
-measures what toxic text explains and ordinary text doesn't.
+Two zstandard dictionaries are trained on labelled text: the *ordinary* one on
+ordinary texts, the *toxic* one on windows of toxic texts.  Beside them stands a
+list of *words* whose share of toxic documents is many times that of ordinary
+ones, the strongest last.  Texts are compressed with the ordinary dictionary
+alone, with the words before it, and with the toxic dictionary before it.  As
+the shared content lies at the same distance in all, a window of clean text
+compresses to much the same length; one that holds toxic words, phrases or
+orders of ordinary words is shorter under one of the others.  So the difference
+of the lengths of each window of some ``WINDOW`` bytes (cut at spaces, covering
+the whole text) measures what toxic text explains and ordinary text doesn't.
 
 Calibration: a logistic regression, on the half of the sample that the
-dictionaries haven't seen, over the numbers of windows that save at least 3 and
-4 bytes, the rates of those that save 2 and 3, the bytes of the best window,
-and their sum.
+dictionaries haven't seen, over six numbers of the words and six of the toxic
+dictionary: the windows that save at least 3 and 4 bytes, the rates of those
+that save 2 and 3, the bytes of the best window, and their sum.
 
 The sample has at most ``PER_CLASS`` labelled rows of each class, only of rows
 whose crc32(id as text) mod 3 is not 1 (see ``labelled_sample``); labels, lang,
@@ -62,31 +63,42 @@ def windows(data: bytes, size: int = WINDOW) -> list[bytes]:
     return out
 
 
-class Pair:
-    """Compressors with the ordinary and the toxic dictionary."""
+class Trio:
+    """Compressors with the ordinary dictionary, and with the toxic words and the toxic dictionary before it."""
 
-    def __init__(self, base: bytes, toxic: bytes) -> None:
+    def __init__(self, base: bytes, words: bytes, toxic: bytes) -> None:
         import zstandard as z
 
-        self.pair = []
-        for content in (base, toxic + base):
+        self.coders = []
+        for content in (base, words + base, toxic + base):
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            params = z.ZstdCompressionParameters(compression_level=3, window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+            params = z.ZstdCompressionParameters(compression_level=3, window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=4, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
             d.precompute_compress(compression_params=params)
-            self.pair.append(z.ZstdCompressor(dict_data=d, compression_params=params).compress)
+            self.coders.append(z.ZstdCompressor(dict_data=d, compression_params=params).compress)
 
     def saved(self, text: str | None) -> np.ndarray:
+        """A row for the words and one for the toxic dictionary: the bytes that each window saves."""
         data = (" " + text.lower() + " ").encode() if text else b""
-        plain, toxic = self.pair
-        return np.array([len(plain(w)) - len(toxic(w)) for w in windows(data)], float)
+        plain, *others = self.coders
+        cut = windows(data)
+        sizes = [len(plain(w)) for w in cut]
+        return np.array([[n - len(f(w)) for n, w in zip(sizes, cut, strict=True)] for f in others], float)
 
     def features(self, text: str | None) -> np.ndarray:
-        s = self.saved(text)
-        if not len(s):
-            return np.zeros(6)
-        low, mid, high = (int((s >= k).sum()) for k in SAVED)
-        # small savings happen by chance, so of those only the rate tells
-        return np.array([np.log1p(mid), np.log1p(high), np.log1p(max(0.0, s.max() - SAVED[0])), 10 * low / len(s), 10 * mid / len(s), np.log1p(s[s >= SAVED[1]].sum())])
+        return np.concatenate([_summary(s) for s in self.saved(text)])
+
+
+def _summary(s: np.ndarray) -> np.ndarray:
+    if not len(s):
+        return np.zeros(6)
+    low, mid, high = (int((s >= k).sum()) for k in SAVED)
+    # small savings happen by chance, so of those only the rate tells
+    return np.array([np.log1p(mid), np.log1p(high), np.log1p(max(0.0, s.max() - SAVED[0])), 10 * low / len(s), 10 * mid / len(s), np.log1p(s[s >= SAVED[1]].sum())])
+
+
+def toxic_dictionary(texts: list[str], limit: int = TOXIC_BYTES) -> bytes:
+    """A dictionary trained on windows of toxic texts; the windows themselves where there are too few to train on."""
+    return _trained([w for t in texts for w in windows((" " + t.lower()).encode())], limit)
 
 
 def toxic_segments(texts: list[str], y: list[int], least: float, limit: int = TOXIC_BYTES, lift: float = LIFT) -> bytes:
@@ -117,9 +129,12 @@ def toxic_segments(texts: list[str], y: list[int], least: float, limit: int = TO
 
 def ordinary_base(texts: list[str], limit: int = BASE_BYTES) -> bytes:
     """A dictionary trained on ordinary texts; the texts themselves where there are too few to train on."""
+    return _trained([w for t in texts for w in windows((" " + t.lower()).encode(), 1024)], limit)
+
+
+def _trained(samples: list[bytes], limit: int) -> bytes:
     import zstandard as z
 
-    samples = [w for t in texts for w in windows((" " + t.lower()).encode(), 1024)]
     try:
         return z.train_dictionary(limit, samples).as_bytes()
     except z.ZstdError:
@@ -137,19 +152,20 @@ def train(texts: list[str], y: list[int]) -> dict | None:
     target = np.array([y[i] for i in rest], float)
     if len(set(target)) < 2:
         return None
+    toxic = toxic_dictionary([texts[i] for i in fit if y[i]])
     best, tried = None, set()
     for least in EVIDENCE:
-        toxic = toxic_segments([texts[i] for i in fit], [y[i] for i in fit], least)
-        if toxic in tried:
+        words = toxic_segments([texts[i] for i in fit], [y[i] for i in fit], least)
+        if words in tried:
             continue
-        tried.add(toxic)
-        pair = Pair(base, toxic)
-        x = np.array([pair.features(texts[i]) for i in rest])
+        tried.add(words)
+        coders = Trio(base, words, toxic)
+        x = np.array([coders.features(texts[i]) for i in rest])
         w = logistic(x, target)
         z = x @ w[:-1] + w[-1]
         loss = sum(np.logaddexp(0, np.where(c, -z, z)[target == c]).mean() for c in (0, 1))
         if best is None or loss < best[0]:
-            best = loss, {"base": base, "toxic": toxic, "weights": w}
+            best = loss, {"base": base, "words": words, "toxic": toxic, "weights": w}
     return best[1]
 
 
@@ -161,8 +177,8 @@ def scorer(model: dict | None):
     """A function from a text to its score."""
     if model is None:
         return lambda text: 0.0
-    pair, w = Pair(model["base"], model["toxic"]), model["weights"]
-    return lambda text: float(1 / (1 + np.exp(-np.clip(pair.features(text) @ w[:-1] + w[-1], -35, 35))))
+    coders, w = Trio(model["base"], model["words"], model["toxic"]), model["weights"]
+    return lambda text: float(1 / (1 + np.exp(-np.clip(coders.features(text) @ w[:-1] + w[-1], -35, 35))))
 
 
 def score(docs: DataFrame, model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

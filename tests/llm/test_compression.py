@@ -79,3 +79,21 @@ def test_windows_cover_the_whole_text():
     for _ in range(200):
         data = bytes(r.choice(b"ab c") for _ in range(r.randrange(900))) + b"x" * r.choice([0, 0, 700])
         assert b"".join(toxicity.windows(data, 50)) == data
+
+
+def test_toxicity_finds_phrases_of_ordinary_words():
+    """Toxic texts whose every word is as frequent in ordinary ones; only the order tells."""
+    r = random.Random(7)
+    vocab = ["".join(r.choice(["ta", "ri", "no", "se", "mo", "lu"]) for _ in range(r.randrange(1, 4))) for _ in range(400)]
+    phrases = [" ".join(r.choice(vocab) for _ in range(12)) for _ in range(4)]
+    texts, y = [], []
+    for i in range(1200):
+        w = [r.choice(vocab) for _ in range(r.randrange(40, 160))]
+        y.append(int(i % 4 == 0))
+        for _ in range(5 * y[-1]):
+            w.insert(r.randrange(len(w)), r.choice(phrases))
+        texts.append(" ".join(w))
+    of = toxicity.scorer(toxicity.train(texts[:800], y[:800]))
+    got = [of(t) >= toxicity.THRESHOLD for t in texts[800:]]
+    assert sum(g for g, c in zip(got, y[800:], strict=True) if c) > 90
+    assert sum(g for g, c in zip(got, y[800:], strict=True) if not c) < 15
