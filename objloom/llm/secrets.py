@@ -9,8 +9,11 @@ window of 20 characters slides over the candidate, keeping a count for each
 letter of the alphabet and the sum of c*log2(c) over the counts; a step adds
 one character and takes one away, so it changes two counts and two terms.  The
 entropy is log2(20) - sum/20.  Windows at or over the class's threshold are
-merged where they overlap, and each merged stretch is a span.  *Allow-list*:
-a candidate is suppressed if it matches a pattern of ``ALLOW``: plain words
+merged where they overlap, and each merged stretch is a span.  A part of 20 or
+more hex digits of one case beside a delimiter (``+/_=-``) is a candidate too,
+with its own class, so ``sig=`` or a path before a hex secret doesn't raise its
+threshold; its spans are merged with those of the whole.  *Allow-list*: a
+candidate, whole or part, is suppressed if it matches a pattern of ``ALLOW``: plain words
 (no digit), numbers, UUIDs, words and numbers joined by ``-``, ``_`` or ``/``
 (paths, slugs, dates), or documented example values.
 
@@ -34,6 +37,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Hex digits beside a delimiter: the part of a candidate that has a class of its own.
+PART = r"(?<=[+/_=-])(?:[0-9a-f]{20,}+|[0-9A-F]{20,}+)(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[0-9a-f]{20,}+|[0-9A-F]{20,}+)(?=[+/_=-])"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Least entropy in bits of a window: 20 random hex digits have about 3.2, random letters and digits about 4.0.
@@ -115,6 +120,17 @@ def _entropy_spans(candidates: Column) -> Column:
     return F.flatten(F.transform(candidates, one))
 
 
+def _merged(spans: Column) -> Column:
+    """Spans of one kind with those that overlap or touch made one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when(F.coalesce(last["end"], F.lit(-1)) >= s["start"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<start:int,end:int,kind:int>>"), step)
+
+
 def _allowed(v: Column) -> Column:
     out = F.lit(False)
     for p in ALLOW:
@@ -138,14 +154,15 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         "_access": _matches(text, ACCESS, "access"),
         "_hex": _matches(text, HEX, "hex"),
         "_cand": _matches(text, CANDIDATE, "entropy", lambda r: ~_allowed(r["v"])),
+        "_part": _matches(text, PART, "entropy", lambda r: ~_allowed(r["v"])),
     })
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     found = found.withColumns({"_base": F.concat(bare(F.col("_assign")), bare(F.col("_access")), bare(F.col("_hex")))})
-    found = found.withColumns({"secret_spans": F.when(F.size("_cand") > 0, F.concat(F.col("_base"), _entropy_spans(F.col("_cand")))).otherwise(F.col("_base"))})
+    found = found.withColumns({"secret_spans": F.when(F.size("_part") > 0, F.concat(F.col("_base"), _merged(_entropy_spans(F.concat("_cand", "_part"))))).when(F.size("_cand") > 0, F.concat(F.col("_base"), _entropy_spans(F.col("_cand")))).otherwise(F.col("_base"))})
     return found.withColumns({
         "n_assign": F.size("_assign").cast("long"), "n_access": F.size("_access").cast("long"), "n_hex": F.size("_hex").cast("long"),
         "base_sha256": F.sha2(_joined(F.col("_base")).cast("binary"), 256), "spans": _joined(F.col("secret_spans")),
-    }).drop("_assign", "_access", "_hex", "_cand", "_base")
+    }).drop("_assign", "_access", "_hex", "_cand", "_part", "_base")
 
 
 def redacted(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:

@@ -86,3 +86,19 @@ def test_redaction(spark):
             at = max(at, b)
         assert got[i].text == (want + t[at:] if t is not None else None), t
         assert not base(got[i].text or "") or "[SECRET]" in got[i].text
+
+
+def test_delimiters_do_not_hide_hex(spark):
+    """A hex secret beside a delimiter is covered as it is alone; words and examples beside it don't count."""
+    r = random.Random(11)
+    befores, afters = ["sig=", "/v1/", "example/", "a-b_", "k+"], ["", "=", "/x", "-end"]
+    cases = [(b, "".join(r.choice("0123456789ABCDEF") for _ in range(n)), a) for b in befores for a in afters for n in (20, 32)]
+    alone = by_id(secrets.redacted(frame(spark, [h for _, h, _ in cases])))
+    got = by_id(secrets.redacted(frame(spark, [f"é {b}{h}{a} z" for b, h, a in cases])))
+    hidden = [i for i in range(len(cases)) if alone[i].text == "[SECRET]"]
+    assert len(hidden) > 0.9 * len(cases)
+    for i in hidden:  # windows over the delimiter may take some of what is beside the secret, but none of it stays
+        b, _, a = cases[i]
+        assert got[i].text in {f"é {b[:k]}[SECRET]{a[j:]} z" for k in range(len(b) + 1) for j in range(len(a) + 1)}
+    plain = ["see /docs/internationalization/configuration-of-things", "/x/00000000000000000000000/1", "id=AAAAAAAAAAAAAAAAAAAAAAAAAAAA1"]
+    assert [r.text for r in secrets.redacted(frame(spark, plain)).orderBy("doc_id").collect()] == plain
