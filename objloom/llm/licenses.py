@@ -1,10 +1,13 @@
 r"""Operator 10 [native]: licence recognition from sentences.
 
 A text is lower-cased (A-Z), everything but letters, digits, line ends and
-``. ! ? ; :`` becomes a space, and it is cut into sentences at line ends and at
-those marks before a space.  Known licence sentences have identifiers; a
-document becomes the sequence of identifiers of the known sentences in it, in
-order.  *Rules* are ordered sequences of identifiers; they are tried longest
+``. ! ? ; :`` becomes a space, so comment marks go.  Sentences begin and end at
+line ends, at those marks before a space, and before an address.  A known
+sentence may be wrapped: it may go on over a line end or a ``;`` or ``:``, but
+not over an empty line or a mark that ends sentences.  Known licence sentences
+have identifiers; a document becomes the sequence of identifiers of the known
+sentences in it, in order.  A line that is a known sentence by
+itself is not joined to the next.  *Rules* are ordered sequences of identifiers; they are tried longest
 first, and what a rule has matched is not matched again.
 
 All of it is Spark SQL expressions on one row; nothing is shuffled and no
@@ -105,10 +108,23 @@ END = r"^[ .!?;:]+|[ .!?;:]+$"
 HINT = "licen|redistribut|copyright|permission|mpl|free software|rights reserved|warranty"
 
 
+_GAP = r"[ \n.!?;:]"
+#: A whole gap between words that ends a line or a clause, but neither a sentence nor a paragraph; known sentences may go on behind it.
+SOFT = rf"(?<!{_GAP})(?:[ ;:]*+\n[ ;:]*+|[ ;:]*[;:] [ ;:]*+)(?!{_GAP})"
+#: Any other gap with a line end, or with a mark before a space.
+HARD = rf"(?<!{_GAP}){_GAP}*?(?:\n|[.!?;:] ){_GAP}*+"
+EDGE = rf"\A{_GAP}++|(?<!{_GAP}){_GAP}++\z"
+_SORTED = [s.replace(".", r"\.") for s in sorted(SENTENCES.values(), key=len, reverse=True)]
+_BEHIND = r"(?=[~|]|\z|(?: |~)https?[~|])"
+#: A known sentence between gaps, on one line or else wrapped; an address behind it on its line doesn't matter.
+KNOWN = rf"(?<![^~|])(?:(?:{'|'.join(_SORTED)}){_BEHIND}|(?:{'|'.join(s.replace(' ', '[ ~]') for s in _SORTED)}){_BEHIND})"
+
+
 def sentences(text: Column) -> Column:
-    """Array of normalised sentences."""
+    """Array of the known sentences of a text, normalised, in order."""
     plain = F.regexp_replace(F.translate(text, UPPER, LOWER), OTHER, " ")
-    return F.transform(F.split(plain, CUT), lambda s: F.regexp_replace(s, END, ""))
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, EDGE, ""), SOFT, "~"), HARD, "|")
+    return F.transform(F.regexp_extract_all(marked, F.lit(KNOWN), F.lit(0)), lambda s: F.translate(s, "~", " "))
 
 
 def recognise(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
