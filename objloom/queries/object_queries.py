@@ -197,6 +197,11 @@ def adler32_text(spark, sf_dir):
     return frame(spark, _ADLER, "s string").select("s", O.adler32(O.utf8(F.col("s"))).alias("adler32"))
 
 
+@query()
+def adler32_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", O.adler32(O.utf8(F.col("text"))).alias("adler32"))
+
+
 @query("""WITH b AS (SELECT doc_id, encode(text) AS base, octet_length(encode(text))::INT AS n FROM documents)
 SELECT doc_id, hex(array_slice(base, 1, least(10, n)) || encode('<' || doc_id || '>') || array_slice(base, greatest(n - 4, 1), n)) AS content FROM b WHERE n >= 20""")
 def delta_apply_instr(spark, sf_dir):

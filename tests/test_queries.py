@@ -4,6 +4,7 @@ import os
 import shutil
 import subprocess
 import sys
+import zlib
 
 import duckdb
 import pytest
@@ -31,6 +32,12 @@ def test_query(spark, tiny, name):
         assert rows == sorted(con.execute(f"SELECT {columns} FROM ({SQL[name]})").fetchall(), key=str)
 
 
+def test_adler32_of_every_document(spark, tiny):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    got = {r.doc_id: r.adler32 for r in QUERIES["adler32_documents"](spark, tiny).collect()}
+    assert got == {i: None if t is None else zlib.adler32(t.encode()) for i, t in texts.items()}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
