@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -28,14 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str):
+    """A column by its exact name, also one with dots or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temp folder only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="objloom-"))
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/objloom-shared")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -53,32 +57,54 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
-def first_texts(docs: DataFrame, text_col: str, rows: int, chars: int = 65_536) -> list[str]:
-    """At most rows texts that aren't null, each cut to chars, for what only saves work (caches, dictionaries).
+def sampled_texts(docs: DataFrame, text_col: str, rows: int, text_bytes: int = 16_384) -> list[str]:
+    """Some ``rows`` different whole texts of at most ``text_bytes`` bytes, for what only saves work (caches, dictionaries).
 
-    take() reads partitions one after another until it has enough; limit()
-    before another operator would move that many rows from *every* partition.
+    Those whose hash is under the share wanted, from all partitions; copies of
+    a text pass together and are one, combined before they move.
     """
-    short = docs.select(F.substring(F.col(text_col), 1, chars).alias("t")).where("t IS NOT NULL")
-    return [r.t for r in short.take(rows)]
+    texts = docs.select(column(text_col).alias("t")).where(F.octet_length("t") <= text_bytes)
+    n = texts.count()
+    passed = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 40)) / float(1 << 40) < min(1.0, rows / max(1, n))).groupBy("t").count()
+    return passed.select("t").sort("t").toArrow()["t"].to_pylist()
+
+
+def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of these names (in any case) renamed ``input_<name>``, so none is lost, and the new name of each column."""
+    taken, out, clash = {c.lower() for c in docs.columns}, {}, {n.lower() for n in names}
+    for c in docs.columns:
+        new = c
+        while new.lower() in clash or new != c and new.lower() in taken:
+            new = f"input_{new}"
+        taken.add(new.lower())
+        out[c] = new
+    return docs.select(*[column(c).alias(n) for c, n in out.items()]), out
+
 
+def plainly(docs: DataFrame, use: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
+    """use(docs under names that no operator has, the new name of each column), with the columns and names of docs."""
+    names = {c: f"column{i}" for i, c in enumerate(docs.columns)}
+    made = use(docs.select(*[column(c).alias(n) for c, n in names.items()]), names)
+    return made.select(*[F.col(n).alias(c) for c, n in names.items()])
 
-def appended(docs: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], reads: str) -> DataFrame:
+
+def appended(docs: DataFrame, fields: list[T.StructField], make: Callable[[str], Callable[[pa.RecordBatch], list]], reads: str) -> DataFrame:
     """docs with columns appended by an Arrow function.
 
-    ``make()`` runs once in each task and gives a function from a record batch
-    to one list (or Arrow array) for each field.  Input columns of the same
-    name are replaced.  ``reads`` names the text column, which must exist.
+    ``make(name)`` runs once in each task and gives a function from a record
+    batch to one list (or Arrow array) for each field; name is that of the text
+    column ``reads``, which must exist.  Columns of docs that have the name of
+    a field are kept as ``input_<name>``.
     """
-    docs[reads]  # fails here, not in a task
-    names = {f.name.lower() for f in fields}
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
+    docs[f"`{reads}`"]  # fails here, not in a task
+    docs, names = set_aside(docs, [f.name for f in fields])
     schema = T.StructType([*docs.schema.fields, *fields])
+    text = names[reads]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        work = make()
+        work = make(text)
         kinds = [to_arrow_type(f.dataType) for f in fields]
         for b in batches:
             if b.num_rows:
@@ -94,6 +120,21 @@ def held_out(column: str, parts: int, part: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def trained(samples: list[bytes], size: int, **options) -> bytes:
+    """A zstandard dictionary trained on samples; where there are too few to train on, the samples, the most frequent last, as many as there is room for."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, samples, **options).as_bytes()
+    except z.ZstdError:
+        out, room = [], size
+        for s, _ in sorted(Counter(samples).items(), key=lambda x: (-x[1], x[0])):
+            if len(s) <= room:
+                out.append(s)
+                room -= len(s)
+        return b"".join(out[::-1])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
     """Weights (bias last) of a logistic regression with a ridge penalty, both classes weighted alike, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -112,45 +153,56 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
     return w
 
 
-def bounded_sample(rows: DataFrame, key: str, per_key: int, id_col: str, max_keys: int = 200) -> DataFrame:
-    """At most per_key rows of each of the max_keys most frequent keys: those with the least hash of their id.
-
-    A first pass counts keys; rows then pass if their hash is below twice the
-    share that is wanted, so what meets in one task is about 2 * per_key rows
-    of a key, whatever the number of rows and of partitions.
-    """
-    spark = rows.sparkSession
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), key).limit(max_keys).toArrow()
-    if not counts.num_rows:
-        return rows.limit(0)
-    share = F.broadcast(spark.createDataFrame(counts).select(F.col(key), F.least(F.lit(1.0), 2.0 * per_key / F.col("_n")).alias("_share")))  # max_keys rows
+def least_hashed(rows: DataFrame, key: str, per_key: int, id_col: str) -> DataFrame:
+    """Rows whose id's hash is under twice the share wanted of their key: about 2 * per_key distinct ids of a key at most, found without a sort."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    share = counts.select(F.col(key), F.least(F.lit(1.0), 2.0 * per_key / F.col("_n")).alias("_share"))
     hashed = rows.withColumn("_h", F.xxhash64(id_col))
-    passed = hashed.join(share, key).where((F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)) < F.col("_share"))
+    return hashed.join(share, key).where((F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)) < F.col("_share")).drop("_share")
+
+
+def bounded_sample(rows: DataFrame, key: str, per_key: int, id_col: str) -> DataFrame:
+    """At most per_key distinct ids of each key: those with the least hash.  What meets in one task is about 2 * per_key rows of a key."""
     first = W.partitionBy(key).orderBy("_h", id_col)
+    passed = least_hashed(rows, key, per_key, id_col).dropDuplicates([key, id_col])
     return passed.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_key).select(*rows.columns)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and labels of at most per_class rows of each class, for fitting.
+#: Bounds of a fitting sample: bytes of a text, and of all texts of a class.
+TEXT_BYTES, CLASS_BYTES = 65_536, 8 << 20
 
-    Only rows whose crc32(id as text) mod 3 is not 1.  The rows with the least
-    hash of their id are taken, so the sample is the same on every run; ids
-    with contradicting labels or no label are left out.  The bound makes both
-    the broadcast id list and what the driver gets small at any corpus size.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", text_bytes: int = TEXT_BYTES, class_bytes: int = CLASS_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and labels of a bounded sample of labelled rows, for fitting.
+
+    Only rows whose crc32(id as text) mod 3 is not 1; ids with contradicting
+    labels or no label are left out, and of repeated ids the least text counts.
+    Texts of at most ``text_bytes`` bytes are taken in the order of their id's
+    hash, until a class has ``per_class`` rows or ``class_bytes`` bytes, so
+    the sample is the same on every run and what comes to the driver is bounded
+    in rows and bytes at any corpus size.
     """
     rows = (
-        labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
+        labels.select(column(id_col).alias("_id"), column(label).cast("int").alias("_y"))
         .where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id", 3, 1))
         .groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z")
     )
-    picked = bounded_sample(rows.select("_id", "_y"), "_y", per_class, "_id").toArrow()
+    passed = least_hashed(rows, "_y", per_class, "_id").toArrow()  # some 4 * per_class ids
+    if not passed.num_rows:
+        return [], []
     spark = docs.sparkSession
-    if not picked.num_rows:
+    texts = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text")).where("_text IS NOT NULL")
+    texts = texts.join(F.broadcast(spark.createDataFrame(passed)), "_id").groupBy("_id", "_h", "_y").agg(F.min("_text").alias("_text"))
+    left = {0: [per_class, class_bytes], 1: [per_class, class_bytes]}
+    picked = []
+    sizes = texts.select("_id", "_h", "_y", F.octet_length("_text").alias("_size")).where(F.col("_size") <= text_bytes).toArrow().to_pylist()
+    for r in sorted(sizes, key=lambda r: (r["_h"], r["_id"])):
+        room = left[r["_y"]]
+        if room[0] and r["_size"] <= room[1]:
+            picked.append(r["_id"])
+            room[0], room[1] = room[0] - 1, room[1] - r["_size"]
+    if not picked:
         return [], []
-    small = spark.createDataFrame(picked)
-    found = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-        .join(F.broadcast(small), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
-    )
-    got = found.toArrow().sort_by("_id")
+    chosen = spark.createDataFrame([(i,) for i in picked], docs.select(column(id_col).alias("_id")).schema)
+    got = texts.join(F.broadcast(chosen), "_id", "left_semi").select("_id", "_y", "_text").toArrow().sort_by("_id")
     return got["_text"].to_pylist(), got["_y"].to_pylist()

@@ -3,18 +3,21 @@
 One zstandard dictionary is trained on texts labelled good, one on texts
 labelled bad.  A text is compressed with each, in stretches of ``STRETCH``
 bytes (the whole text, so the dictionaries matter in long texts too).  The
-difference of the compressed sizes, over the greater of them, is the main
-feature; the smaller size over the number of bytes tells repetition.  A
-logistic regression on the half of the sample that the dictionaries haven't
-seen turns them into a calibrated score.
+difference of the compressed sizes over the greater of them, the normalised
+size difference, is the only input of the score: a logistic regression over it
+and its signed square, on the half of the sample that the dictionaries haven't
+seen, calibrates it.
 
-The sample has at most ``PER_CLASS`` labelled rows of each class, only of rows
-whose crc32(id as text) mod 3 is not 1; labels, lang, source and doc_id are
-never inputs of a score.
+The sample has at most ``PER_CLASS`` labelled rows of each class and is bounded
+in bytes, only of rows whose crc32(id as text) mod 3 is not 1 (see
+``labelled_sample``); labels, lang, source and doc_id are never inputs of a
+score.
 
 Defined results: null and empty texts are scored as texts of no size; without
 labelled rows of both classes every score is 0.5; repeated rows give repeated
-rows; extra columns are kept; equal texts have equal scores.
+rows; extra columns are kept, those named ``score`` or ``predicted`` as
+``input_score`` and ``input_predicted``; equal texts have equal scores; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from objloom.llm.common import appended, labelled_sample, logistic, utf8
+from objloom.llm.common import appended, labelled_sample, logistic, trained, utf8
 
 PER_CLASS = 2_000
 STRETCH = 4_096
@@ -33,14 +36,8 @@ THRESHOLD = 0.5
 
 
 def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A trained dictionary; the texts themselves where there are too few to train on."""
-    import zstandard as z
-
-    samples = [t[a : a + STRETCH] for t in texts for a in range(0, len(t), STRETCH)]
-    try:
-        return z.train_dictionary(size, samples, level=3).as_bytes()
-    except z.ZstdError:
-        return b"".join(samples)[:size]
+    """A dictionary trained on the texts' stretches."""
+    return trained([t[a : a + STRETCH] for t in texts for a in range(0, len(t), STRETCH)], size, level=3)
 
 
 class Pair:
@@ -57,11 +54,8 @@ class Pair:
         good, bad = self.pair
         parts = [text[a : a + STRETCH] for a in range(0, len(text), STRETCH)]
         g, b = sum(len(good(x)) for x in parts), sum(len(bad(x)) for x in parts)
-        n = len(text)
-        if not n:
-            return np.zeros(5)
-        d = (b - g) / max(g, b)
-        return np.array([d * 10, d * abs(d) * 20, min(g, b) / n, g / n, np.log1p(n) / 10])
+        d = (b - g) / max(g, b, 1)
+        return np.array([d * 10, d * abs(d) * 20])
 
 
 def train(texts: list[str], y: list[int]) -> dict | None:
@@ -93,11 +87,11 @@ def scorer(model: dict | None):
 def score(docs: DataFrame, model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted (1 where score >= threshold)."""
 
-    def make():
+    def make(text):
         of = scorer(model.value)
 
         def work(batch: pa.RecordBatch) -> list:
-            s = np.array([of(t) for t in utf8(batch.column(text_col))], float)
+            s = np.array([of(t) for t in utf8(batch.column(text))], float)
             return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
 
         return work

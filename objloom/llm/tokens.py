@@ -8,8 +8,9 @@ lengths (or ids) of pre-tokens simply add up.
 Tier 1 is a broadcast hash table from the frequent pre-tokens to their number
 of tokens, of at most ``TABLE_ROWS`` rows.  It is filled from a sample of
 ``SAMPLE_ROWS`` documents; it only saves work, so results don't depend on it.
-Tier 2 is a cache in each Python worker of at most ``CACHE_ROWS`` rows.  Only a
-miss in both is encoded.  No pre-token is ever shuffled.
+Tier 2 is a cache in each Python worker of at most ``CACHE_ROWS`` rows, for
+pre-tokens of at most ``CACHE_CHARS`` characters, so it is bounded in bytes,
+too.  Only a miss in both is encoded.  No pre-token is ever shuffled.
 
 Misses whose characters are all below U+0250 go to the rank encoder over the
 same vocabulary (the same merges in the same order, several times faster);
@@ -17,7 +18,8 @@ others, and whole texts that hold a special token's string, go to the
 ``tokenizers`` library itself, so those strings are handled as its default.
 
 Defined results: null is the empty text, which has no tokens; repeated rows
-give repeated rows; extra columns are ignored; an empty table gives no rows.
+give repeated rows; extra columns are kept, those
+with a name of the results as ``input_<name>``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from objloom.llm.common import appended, first_texts
+from objloom.llm.common import appended, sampled_texts
 
 TABLE_ROWS = 32_768
 SAMPLE_ROWS = 500
-CACHE_ROWS = 400_000
+CACHE_ROWS, CACHE_CHARS = 300_000, 64
 
 _ODD = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
@@ -94,17 +96,19 @@ class Lookup(dict):
         self.frequent, self.value, self.rows = frequent, value, len(frequent) + rows
 
     def __missing__(self, key: str):
-        if len(self) >= self.rows:
-            self.clear()
-            self.update(self.frequent)
-        got = self[key] = self.value(" " + key)
+        got = self.value(" " + key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= self.rows:
+                self.clear()
+                self.update(self.frequent)
+            self[key] = got
         return got
 
 
 def frequent_table(docs: DataFrame, path: str, text_col: str = "text", rows: int = TABLE_ROWS, sample: int = SAMPLE_ROWS) -> dict[str, int]:
     """The most frequent pre-tokens of a bounded sample and their token counts."""
     counts: Counter[str] = Counter()
-    for t in first_texts(docs, text_col, sample):
+    for t in sampled_texts(docs, text_col, sample):
         counts.update(pre_tokens(t)[1:])
     enc = Encoder(path)
     top = [k for k, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:rows] if len(k) <= 64 and not enc.is_special(" " + k)]
@@ -116,7 +120,7 @@ def count_tokens(docs: DataFrame, path: str, *, text_col: str = "text", limit: i
     sc = docs.sparkSession.sparkContext
     frequent = sc.broadcast(frequent_table(docs, path, text_col, table_rows))
 
-    def make():
+    def make(column):
         enc = Encoder(path)
         get = Lookup(frequent.value, lambda s: len(enc.piece(s)))
         firsts: dict[str, int] = {}
@@ -130,13 +134,15 @@ def count_tokens(docs: DataFrame, path: str, *, text_col: str = "text", limit: i
             first = units[0]
             n = firsts.get(first)
             if n is None:
-                if len(firsts) > 50_000:
-                    firsts.clear()
-                n = firsts[first] = len(enc.piece(first))
-            return n + sum(map(get.__getitem__, units)) - get[first]
+                n = len(enc.piece(first))
+                if len(first) <= CACHE_CHARS:
+                    if len(firsts) > 50_000:
+                        firsts.clear()
+                    firsts[first] = n
+            return n + sum(map(get.__getitem__, units[1:]))
 
         def work(batch: pa.RecordBatch) -> list:
-            col = batch.column(text_col)
+            col = batch.column(column)
             n = np.fromiter((length(t or "") for t in col.to_pylist()), np.int64, len(col))
             return [pc.fill_null(pc.binary_length(col), 0).cast(pa.int64()), pa.array(n), pa.array(n > limit)]
 
