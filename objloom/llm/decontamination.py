@@ -13,30 +13,38 @@ have it there.  A block that isn't in the table moves the search by m-B+1
 bytes at once; a shift of nothing leads to the bucket, whose patterns are
 compared directly.
 
-The benchmark is the stated query set.  It is read in blocks of at most
-``BLOCK_BYTES`` of patterns; each block's tables are broadcast (their size is
-bounded by that) and the blocks of one document are tried in turn.
+The benchmark is the stated query set.  Its patterns are read in blocks of at
+most ``BLOCK_BYTES``, so that a table stays small, and the blocks are tried in
+*passes* of at most ``PASS_BYTES``: only one pass's blocks are broadcast and
+held by a task.  A pass adds the intervals and items that it finds to those of
+the passes before, and its result is written to the shared folder when another
+one follows, so memory doesn't grow with the benchmark.  The driver sees the
+benchmark as a stream, a pass at a time.
 
 Defined results: null has no words; an item without words has no window and
-never occurs; repeated item ids count once, their windows together; repeated
-documents give repeated rows; extra columns are kept; empty tables give no
-rows, or no hits.
+never occurs; repeated item ids count once, their windows together; items
+without an id are one item without a name: it counts in n_items and n_hit and
+is left out of the digest; repeated documents give repeated rows; extra columns
+are kept, those with a name of the results as ``input_<name>``; empty tables
+give no rows, or no hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from objloom.llm.common import appended, canonical_words, utf8
+from objloom.llm.common import appended, canonical_words, column, plainly, set_aside, utf8, written
 
 WINDOW_WORDS = 8
 BLOCK_BYTES = 2 << 20
+#: Bytes of patterns that are broadcast at once.
+PASS_BYTES = 32 << 20
 #: Least lengths of the classes of patterns.
 CLASSES = (40, 24, 12, 0)
 
@@ -103,61 +111,99 @@ class Searcher:
         return spans, found
 
 
-def covered(spans: list[tuple[int, int]]) -> int:
-    """The number of words in any of the intervals."""
-    total, last = 0, 0
-    for a, b in sorted(spans):
-        total += max(0, b - max(a, last))
-        last = max(last, b)
-    return total
-
-
-def pattern_blocks(benchmark: DataFrame, *, id_col: str, text_col: str, limit: int) -> list[tuple[dict[bytes, list[int]], list[str]]]:
-    """Blocks (pattern -> numbers of items, item ids as text) of at most ``limit`` bytes of patterns, but one item at least."""
-    blocks, size = [({}, [])], 0
-    numbers: dict[str, int] = {}
-    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").sort("i").toLocalIterator():
+def pattern_blocks(benchmark: DataFrame, *, id_col: str, text_col: str, limit: int) -> Iterator[tuple[int, dict[bytes, list[int]], list[str | None]]]:
+    """Blocks of (bytes, pattern -> numbers of items, item ids as text) of at most ``limit`` bytes of patterns, but one item at least, as they come."""
+    size, patterns, ids = 0, {}, []
+    for row in benchmark.select(column(id_col).cast("string").alias("i"), column(text_col).alias("t")).where("t IS NOT NULL").sort("i").toLocalIterator():
         new = windows(row.t.encode())
-        if size + sum(map(len, new)) > limit and blocks[-1][1] and row.i != blocks[-1][1][-1]:
-            blocks.append(({}, []))
-            size, numbers = 0, {}
-        patterns, ids = blocks[-1]
-        if row.i not in numbers:
-            numbers[row.i] = len(ids)
+        more = sum(map(len, new))
+        if size + more > limit and ids and row.i != ids[-1]:
+            yield size, patterns, ids
+            size, patterns, ids = 0, {}, []
+        if not ids or row.i != ids[-1]:
             ids.append(row.i)
         for p in new:
             own = patterns.setdefault(p, [])
-            if numbers[row.i] not in own:
-                own.append(numbers[row.i])
-        size += sum(map(len, new))
-    return blocks
+            if not own or own[-1] != len(ids) - 1:
+                own.append(len(ids) - 1)
+        size += more
+    yield size, patterns, ids
+
+
+def passes(blocks: Iterable[tuple], limit: int) -> Iterator[tuple[list[tuple], bool]]:
+    """Lists of blocks of at most ``limit`` bytes (one block at least), and whether it is the last."""
+    held, size = [], 0
+    for b in blocks:
+        if held and size + b[0] > limit:
+            yield held, False
+            held, size = [], 0
+        held.append(b)
+        size += b[0]
+    yield held, True
+
+
+FIELDS = (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("hit_items", T.ArrayType(T.StringType())))
+#: What a pass hands on: the merged intervals of hit words as a flat list, the names found, and whether a nameless item was.
+_PARTIAL = (("_spans", T.ArrayType(T.LongType())), ("_names", T.ArrayType(T.StringType())), ("_nameless", T.BooleanType()))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_items: int = 2, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated, and hit_items (sorted item ids)."""
     sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in pattern_blocks(benchmark, id_col=item_id, text_col=item_text, limit=block_bytes)]
-
-    def make():
-        searchers = [(Searcher(b.value[0]), b.value[1]) for b in blocks]
+    docs, names = set_aside(docs, [n for n, _ in FIELDS + _PARTIAL])
+    own, first = docs.columns, True
+    for blocks, last in passes(pattern_blocks(benchmark, id_col=item_id, text_col=item_text, limit=block_bytes), pass_bytes):
+        held = sc.broadcast([b[1:] for b in blocks])
+        # the loop's values, as the function runs later
+        docs = appended(docs.select(*[column(c).alias(f"{c}_before" if c in dict(_PARTIAL) else c) for c in docs.columns]), [T.StructField(*f) for f in (FIELDS if last else _PARTIAL)], _pass(held, first, last, min_items), names[text_col])
+        if not last:
+            docs = written(docs.select(*[column(c) for c in own], *(n for n, _ in _PARTIAL)), "contamination")
+            held.unpersist()
+        first = False
+    return docs.select(*[column(c) for c in own], *(n for n, _ in FIELDS))
+
+
+def _pass(held, first: bool, last: bool, min_items: int):
+    def make(text_col):
+        searchers = [(Searcher(patterns), names) for patterns, names in held.value]
 
         def work(batch: pa.RecordBatch) -> list:
-            out: list[list] = [[] for _ in range(6)]
-            for text in utf8(batch.column(text_col)):
+            out: list[list] = [[] for _ in range(6 if last else 3)]
+            before = zip(*(batch.column(f"{n}_before").to_pylist() for n, _ in _PARTIAL), strict=True) if not first else [((), (), False)] * batch.num_rows
+            for text, (had, names_had, nameless) in zip(utf8(batch.column(text_col)), before, strict=True):
                 words = canonical_words(text)
                 canonical = b" %b " % b" ".join(words) if words else b""
-                spans, ids = [], set()
+                spans, ids = list(zip(had[::2], had[1::2], strict=True)), {*names_had, *([None] if nameless else [])}
                 for searcher, names in searchers:
                     got, found = searcher.hits(canonical)
                     spans += got
                     ids.update(names[i] for i in found)
-                names_found = sorted(ids)
-                row = (len(words), covered(spans), len(ids), hashlib.sha256(",".join(names_found).encode()).hexdigest(), len(ids) >= min_items, names_found)
+                known = sorted(ids - {None})
+                spans = merged(spans)
+                if last:
+                    row = (len(words), sum(b - a for a, b in spans), len(ids), hashlib.sha256(",".join(known).encode()).hexdigest(), len(ids) >= min_items, known)
+                else:
+                    row = ([x for s in spans for x in s], known, None in ids)
                 for x, v in zip(out, row, strict=True):
                     x.append(v)
             return out
 
         return work
 
-    kinds = (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("hit_items", T.ArrayType(T.StringType())))
-    return appended(docs, [T.StructField(*k) for k in kinds], make, text_col)
+    return make
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that hold no window of any item, with the columns of docs alone."""
+    docs[f"`{text_col}`"]
+    return plainly(docs, lambda d, names: contamination(d, benchmark, text_col=names[text_col], min_items=1, **options).where("NOT contaminated"))
