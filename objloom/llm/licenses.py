@@ -15,7 +15,7 @@ Python runs on executors.  The sentence table is a fixed literal.
 
 Defined results: null is the empty text; documents without a known sentence
 have empty strings and zero; repeated rows give repeated rows; extra columns
-are kept; an empty table gives no rows.
+are kept, those with a name of the results as ``input_<name>``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from objloom.llm.common import column, set_aside
+
 # Identifiers of licence sentences, normalised.
 SENTENCES = {
     "apache-name": "apache license version 2.0",
@@ -63,6 +65,36 @@ SENTENCES = {
     "mpl-form": "this source code form is subject to the terms of the mozilla public license v",
     "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at",
     "rights": "all rights reserved",
+    "lgpl-free": "this library is free software",
+    "lgpl21-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "lgpl3-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-terms": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "bsl-notice": "distributed under the boost software license version 1.0",
+    "bsl-name": "boost software license version 1.0",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "epl-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-damages": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "spdx-gpl2": "gpl 2.0 only",
+    "spdx-gpl2-later": "gpl 2.0 or later",
+    "spdx-gpl3-later": "gpl 3.0 or later",
+    "spdx-lgpl21": "lgpl 2.1 only",
+    "spdx-lgpl21-later": "lgpl 2.1 or later",
+    "spdx-lgpl3": "lgpl 3.0 only",
+    "spdx-agpl3": "agpl 3.0 only",
+    "spdx-agpl3-later": "agpl 3.0 or later",
+    "spdx-bsd2": "bsd 2 clause",
+    "spdx-bsd3": "bsd 3 clause",
+    "spdx-isc": "isc",
+    "spdx-bsl": "bsl 1.0",
+    "spdx-unlicense": "unlicense",
+    "spdx-epl": "epl 2.0",
+    "spdx-mpl": "mpl 2.0",
+    "spdx-zlib": "zlib",
+    "spdx-cc0": "cc0 1.0",
 }
 # Ordered rules, (licence, identifiers of consecutive known sentences).
 RULES = [
@@ -74,12 +106,35 @@ RULES = [
     ("mit", ("mit-name", "mit-grant", "mit-condition", "mit-as-is")),
     ("bsd-2-clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("mit", ("mit-grant", "mit-condition", "mit-as-is")),
+    ("zlib", ("zlib-as-is", "zlib-damages", "zlib-grant")),
     ("gpl-3.0", ("gpl-free", "gpl3-terms")),
     ("gpl-2.0", ("gpl-free", "gpl2-terms")),
     ("mpl-2.0", ("mpl-form", "mpl-copy")),
     ("apache-2.0", ("spdx", "spdx-apache")),
     ("mit", ("spdx", "spdx-mit")),
     ("gpl-3.0", ("spdx", "spdx-gpl3")),
+    ("lgpl-2.1", ("lgpl-free", "lgpl21-terms")),
+    ("lgpl-3.0", ("lgpl-free", "lgpl3-terms")),
+    ("lgpl-3.0", ("gpl-free", "lgpl3-terms")),
+    ("agpl-3.0", ("gpl-free", "agpl3-terms")),
+    ("isc", ("isc-grant", "isc-as-is")),
+    ("gpl-2.0", ("spdx", "spdx-gpl2")),
+    ("gpl-2.0", ("spdx", "spdx-gpl2-later")),
+    ("gpl-3.0", ("spdx", "spdx-gpl3-later")),
+    ("lgpl-2.1", ("spdx", "spdx-lgpl21")),
+    ("lgpl-2.1", ("spdx", "spdx-lgpl21-later")),
+    ("lgpl-3.0", ("spdx", "spdx-lgpl3")),
+    ("agpl-3.0", ("spdx", "spdx-agpl3")),
+    ("agpl-3.0", ("spdx", "spdx-agpl3-later")),
+    ("bsd-2-clause", ("spdx", "spdx-bsd2")),
+    ("bsd-3-clause", ("spdx", "spdx-bsd3")),
+    ("isc", ("spdx", "spdx-isc")),
+    ("bsl-1.0", ("spdx", "spdx-bsl")),
+    ("unlicense", ("spdx", "spdx-unlicense")),
+    ("epl-2.0", ("spdx", "spdx-epl")),
+    ("mpl-2.0", ("spdx", "spdx-mpl")),
+    ("zlib", ("spdx", "spdx-zlib")),
+    ("cc0-1.0", ("spdx", "spdx-cc0")),
     ("apache-2.0", ("apache-may-not",)),
     ("apache-2.0", ("apache-notice",)),
     ("apache-2.0", ("apache-name",)),
@@ -99,13 +154,21 @@ RULES = [
     ("cc-by-sa-4.0", ("cc-by-sa",)),
     ("cc0-1.0", ("cc0",)),
     ("mpl-2.0", ("mpl-form",)),
+    ("lgpl-2.1", ("lgpl21-terms",)),
+    ("lgpl-3.0", ("lgpl3-terms",)),
+    ("agpl-3.0", ("agpl3-terms",)),
+    ("isc", ("isc-grant",)),
+    ("bsl-1.0", ("bsl-notice",)),
+    ("bsl-1.0", ("bsl-name",)),
+    ("unlicense", ("unlicense-free",)),
+    ("epl-2.0", ("epl-terms",)),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER = r"[^a-z0-9\n.!?;:]+"
 CUT = r" *[.!?;:]* *\n[ \n]*|[.!?;:]+ +"
 END = r"^[ .!?;:]+|[ .!?;:]+$"
-#: A text without any of these words has no known sentence, so it needn't be cut.
-HINT = "licen|redistribut|copyright|permission|mpl|free software|rights reserved|warranty"
+#: Every known sentence has one of these words, which are the same before it is normalised; a text without any has no known sentence and needn't be cut.
+HINT = "licens|redistribut|copyright|permission|software|rights|warrant|" + "|".join(rf"(?<![a-z0-9]){w}(?![a-z0-9])" for w in ("mpl", "mit", "apache", "l?gpl", "agpl", "cc", "cc0", "bsd", "isc", "bsl", "unlicense", "epl", "zlib"))
 
 
 _GAP = r"[ \n.!?;:]"
@@ -130,8 +193,9 @@ def sentences(text: Column) -> Column:
 def recognise(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with n_known (known sentences), sentence_ids, licenses (sorted, comma-joined), n_matches and rules (licence:count in rule order)."""
     made = ("n_known", "sentence_ids", "licenses", "n_matches", "rules")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs[f"`{text_col}`"]
+    docs, names = set_aside(docs, (*made, "_ids", "_got"))
+    text = F.coalesce(column(names[text_col]), F.lit(""))
     known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (s, k)])
     ids = F.filter(F.transform(sentences(text), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")

@@ -55,8 +55,8 @@ def licenses_sql() -> str:
     total = " + ".join(f"n{i}" for i in range(len(L.RULES)))
     return f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{L.UPPER}', '{L.LOWER}') AS t FROM documents),
-s AS (SELECT doc_id, list_transform(regexp_split_to_array(regexp_replace(t, {_lit(L.OTHER)}, ' ', 'g'), {_lit(L.CUT)}), lambda x: regexp_replace(x, {_lit(L.END)}, '', 'g')) AS sents, regexp_matches(t, {_lit(L.HINT)}) AS hint FROM d),
-i AS (SELECT doc_id, CASE WHEN hint THEN list_filter(list_transform(sents, lambda x: {known}[x]), lambda x: x IS NOT NULL) ELSE []::VARCHAR[] END AS ids FROM s),
+s AS (SELECT doc_id, list_transform(regexp_split_to_array(regexp_replace(t, {_lit(L.OTHER)}, ' ', 'g'), {_lit(L.CUT)}), lambda x: regexp_replace(x, {_lit(L.END)}, '', 'g')) AS sents FROM d),
+i AS (SELECT doc_id, list_filter(list_transform(sents, lambda x: {known}[x]), lambda x: x IS NOT NULL) AS ids FROM s),
 r AS (SELECT doc_id, ids, array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '') AS s0, {', '.join(steps)} FROM i)
 SELECT doc_id, len(ids)::BIGINT AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(list_sort(list_distinct({some})), ','), '') AS licenses, ({total})::BIGINT AS n_matches,
 coalesce(array_to_string(list_filter([{shown}], lambda x: x IS NOT NULL), ','), '') AS rules FROM r"""
