@@ -22,8 +22,9 @@ at the pattern: the lengths of the pieces between matches and of the matches
 add up to the starts.
 
 Defined results: null is the empty text; no spans give the empty string and
-the SHA-256 of it; repeated rows give repeated rows; extra columns are kept;
-an empty table gives no rows.
+the SHA-256 of it; repeated rows give repeated rows; extra columns are kept,
+those with a name of the results as ``input_<name>``; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from objloom.llm.common import column, plainly, set_aside
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -146,9 +149,11 @@ def _joined(spans: Column) -> Column:
 
 def find_secrets(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """docs with n_assign, n_access, n_hex, base_sha256, spans and secret_spans (array of start, end, kind)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs[f"`{text_col}`"]
     made = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "secret_spans")
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
+    steps = ("_assign", "_access", "_hex", "_cand", "_part", "_base")
+    docs, names = set_aside(docs, made + steps)
+    text = F.coalesce(column(names[text_col]), F.lit(""))
     found = docs.withColumns({
         "_assign": _matches(text, ASSIGN, "assign", lambda r: F.length(r["g"]) >= 6, {"g": 2}),
         "_access": _matches(text, ACCESS, "access"),
@@ -162,19 +167,32 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return found.withColumns({
         "n_assign": F.size("_assign").cast("long"), "n_access": F.size("_access").cast("long"), "n_hex": F.size("_hex").cast("long"),
         "base_sha256": F.sha2(_joined(F.col("_base")).cast("binary"), 256), "spans": _joined(F.col("secret_spans")),
-    }).drop("_assign", "_access", "_hex", "_cand", "_part", "_base")
+    }).drop(*steps)
+
 
+def redacted(docs: DataFrame, *, text_col: str = "text", length_col: str | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every secret span of the text replaced by the mark; overlapping spans become one.  Null stays null.
 
-def redacted(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret span of the text replaced by the mark; overlapping spans become one.  Null stays null."""
-    found = find_secrets(docs, text_col=text_col)
-    text = F.col(text_col)
+    length_col, where docs has it, follows the text's length.  The columns and
+    their types are those of docs, whatever their names.
+    """
+    docs[f"`{text_col}`"]
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-    )
-    # spans that begin inside what is already replaced only move its end
-    clean = F.aggregate(
-        F.array_sort(F.col("secret_spans")), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))
+        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(acc["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+        acc["text"].alias("text"),
     )
-    return found.withColumn(text_col, F.when(F.size("secret_spans") > 0, clean).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    def use(plain: DataFrame, names: dict[str, str]) -> DataFrame:
+        found, own = find_secrets(plain, text_col=names[text_col]), names[text_col]
+        text = F.col(own)
+        # spans that begin inside what is already replaced only move its end
+        clean = F.aggregate(
+            F.array_sort(F.col("secret_spans")), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), text.alias("text")), step, lambda acc: F.concat(acc["out"], F.substr(acc["text"], acc["at"] + 1))
+        )
+        made = found.withColumn(own, F.when(F.size("secret_spans") > 0, clean).otherwise(text))
+        if length_col in names:
+            made = made.withColumn(names[length_col], F.length(own).cast(docs.schema[length_col].dataType))
+        return made
+
+    return plainly(docs, use)
