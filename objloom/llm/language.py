@@ -10,18 +10,24 @@ that posterior.
 
 Probabilities are fitted by expectation-maximisation (forward-backward over
 the words' counts) on a bounded sample: at most ``FIT_DOCS`` training rows of
-each language, those with the least hash of their id, whose word counts are
-summed on the executors; the ``FIT_WORDS`` most frequent words of each language
-come to the driver.  lang, source and doc_id are never inputs of a prediction.
-
-Forward sums run over all new words of a batch at once in NumPy: a rolling hash
-finds the piece that each substring is.  Vectors of words already seen are kept
-in a cache of at most ``CACHE_ROWS`` rows in each Python worker.
+each language, those with the least hash of their id, of at most ``TEXT_BYTES``
+bytes each.  Every word of the sample counts.  Words are counted on the
+executors, and each language is fitted in a task of its own.  lang, source and
+doc_id are never inputs of a prediction.
+
+Forward sums run over many words at once in NumPy: a rolling hash finds the
+piece that each substring is, of any length that the vocabulary has, and the
+pieces that end at a character are summed together.  Sums are rescaled as they
+shrink, so words of any length are scored whole.  Batches of words are cut so
+that their sums take some ``BATCH_CELLS`` numbers, whatever the number of
+languages and the length of words.  Vectors of words already seen are kept in a
+cache of at most ``CACHE_BYTES`` in each Python worker.
 
 Defined results: ``und`` and score 0 for null and texts without a letter; ties
-go to the first language in text order; words of over ``LONGEST`` letters are
-scored in stretches of that length; without training rows everything is
-``und``; repeated rows give repeated rows; extra columns are kept.
+go to the first language in text order; without training rows everything is
+``und``; repeated rows give repeated rows; extra columns are kept, those named
+``lang_pred`` or ``score`` as ``input_lang_pred`` and ``input_score``; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,17 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from objloom.llm.common import appended, bounded_sample, held_out
+from objloom.llm.common import TEXT_BYTES, appended, bounded_sample, column, held_out
 
 FIT_DOCS = 1_500
-FIT_WORDS = 30_000
-MAX_LANGUAGES = 200
 ROUNDS = 3
-MAX_PIECE = 8
-LONGEST = 48
-CACHE_ROWS = 300_000
+#: Numbers in a batch's forward sums: (longest word + 1) x words x languages.
+BATCH_CELLS = 8_000_000
+CACHE_BYTES = 64 << 20
+#: Probability of a single character that is no piece.
+FLOOR = 1e-7
 UND = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -57,12 +62,12 @@ def letter_words(token: str) -> list[str]:
 
 
 def vocabulary(path: str) -> list[str]:
-    """Pieces made of letters, with or without the word mark before them, of at most MAX_PIECE characters."""
+    """Pieces made of letters, with or without the word mark before them."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    ok = lambda p: 0 < len(p) <= MAX_PIECE and (p[1:] if p[0] == _MARK else p).isalpha() or p == _MARK
+    ok = lambda p: p and ((p[1:] if p[0] == _MARK else p).isalpha() or p == _MARK)
     return sorted(p for p in pieces if ok(p))
 
 
@@ -75,6 +80,7 @@ class PieceTable:
 
     def __init__(self, pieces: list[str]) -> None:
         hashes = np.array([self._hash(p) for p in pieces], np.uint64)
+        self.longest = max(map(len, pieces), default=1)
         self.levels: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
         left = np.arange(len(pieces))
         mult = _BASE
@@ -102,119 +108,164 @@ class PieceTable:
         return out
 
 
+_TINY, _UP = 1e-100, 1e100
+
+
 class Lattice:
-    """All pieces in a list of words: ``piece[k][i]`` is the piece of k+1 characters that begins at character i of the joined words."""
+    """All pieces in a list of words.
+
+    An *edge* is a piece at its place, or any single character; edges are in
+    the order of the character at which they end, so the sums at a character
+    are one grouped addition.  ``_end[j]:_end[j + 1]`` are those that end at j.
+    """
 
     def __init__(self, words: list[str], table: PieceTable) -> None:
         marked = [_MARK + w for w in words]
-        self.size = np.array([len(w) for w in marked])
-        self.order = np.argsort(-self.size, kind="stable")
+        size = np.array([len(w) for w in marked], np.int64)
+        self.order = np.argsort(-size, kind="stable")
         chars = np.frombuffer("".join(marked[i] for i in self.order).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
-        self.size = self.size[self.order]
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.size = size[self.order]
         self.longest = int(self.size[0]) if len(words) else 0
-        #: words that have a character j, a prefix of the words as ordered
-        self.having = [int(np.searchsorted(-self.size, -j, "right")) for j in range(self.longest + 1)]
-        self.piece = []
+        start = np.concatenate([[0], np.cumsum(self.size)[:-1]]) if len(words) else np.zeros(0, np.int64)
+        word = np.repeat(np.arange(len(words)), self.size)
+        at = np.arange(len(chars)) - start[word]
+        found = []
         h = np.zeros(len(chars), np.uint64)
-        for k in range(MAX_PIECE):
-            if k >= len(chars):
-                break
+        for k in range(min(table.longest, len(chars))):
             n = len(chars) - k
             h = h[:n] * _BASE + chars[k:]
-            self.piece.append(table.find(h))
+            piece = table.find(h)
+            inside = at[:n] + k < self.size[word[:n]]
+            keep = np.flatnonzero(inside if k == 0 else inside & (piece > 0))
+            found.append(np.stack([word[keep], at[keep], at[keep] + k + 1, piece[keep]]))
+        edges = np.concatenate(found, 1) if found else np.zeros((4, 0), np.int64)
+        edges = edges[:, np.lexsort((edges[0], edges[2]))]
+        self.word, self.begin, self.stop, self.piece = edges
+        self._end = np.searchsorted(self.stop, np.arange(self.longest + 2))
 
     def forward(self, p: np.ndarray, floor: np.ndarray) -> np.ndarray:
         """log of the sum over segmentations, a row for each word in the given order; p: (pieces + 1) x languages, floor for any single character."""
         n, langs = len(self.size), p.shape[1]
         alpha = np.zeros((self.longest + 1, n, langs))
         alpha[0] = 1.0
+        self.scale = np.zeros(alpha.shape) if self.longest > 16 else None  # log of what each sum was multiplied by
         for j in range(1, self.longest + 1):
-            m = self.having[j]
-            acc = alpha[j, :m]
-            for k in range(min(j, len(self.piece))):
-                at = self.start[:m] + j - k - 1
-                got = self.piece[k][at]
-                if k == 0:
-                    acc += alpha[j - 1, :m] * np.where(got[:, None] > 0, p[got], floor)
-                else:
-                    some = np.flatnonzero(got)
-                    acc[some] += alpha[j - k - 1, some] * p[got[some]]
+            lo, hi = self._end[j], self._end[j + 1]
+            w, i, piece = self.word[lo:hi], self.begin[lo:hi], self.piece[lo:hi]
+            part = alpha[i, w] * np.where(piece[:, None] > 0, p[piece], floor)
+            if self.scale is not None:
+                part *= np.exp(self.scale[j - 1, w] - self.scale[i, w])
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            rows = w[first]
+            got = np.add.reduceat(part, first, axis=0)
+            if self.scale is not None:
+                own = self.scale[j - 1, rows]
+                small = got < _TINY
+                got = np.where(small, got * _UP, got)
+                self.scale[j, rows] = own + np.where(small, np.log(_UP), 0.0)
+            alpha[j, rows] = got
         self.alpha = alpha
         out = np.empty((n, langs))
-        out[self.order] = np.log(np.maximum(alpha[self.size, np.arange(n)], 1e-300))
+        self.last = self.size, np.arange(n)
+        total = np.log(np.maximum(alpha[self.last], 1e-300))
+        out[self.order] = total if self.scale is None else total - self.scale[self.last]
         return out
 
     def expected(self, p: np.ndarray, floor: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected counts of pieces in one language's words, each counted weight times."""
+        """Expected counts of pieces in one language's words, each counted weight times.
+
+        Backward sums are divided by the word's whole sum and held at the
+        inverse of the forward scale, so the product of both at an edge is its
+        share of the segmentations.
+        """
         self.forward(p, floor)
         n, a = len(self.size), self.alpha[:, :, 0]
-        w = weight[self.order] / np.maximum(a[self.size, np.arange(n)], 1e-300)
+        scale = None if self.scale is None else self.scale[:, :, 0]
         beta = np.zeros((self.longest + 1, n))
-        beta[self.size, np.arange(n)] = 1.0
+        beta[self.last] = 1.0 / np.maximum(a[self.last], 1e-300)
         counts = np.zeros(len(p))
-        for j in range(self.longest - 1, -1, -1):
-            for k in range(len(self.piece)):
-                m = self.having[j + k + 1] if j + k + 1 <= self.longest else 0
-                if not m:
-                    break
-                got = self.piece[k][self.start[:m] + j]
-                q = np.where(got > 0, p[got, 0], floor[0] if k == 0 else 0.0)
-                beta[j, :m] += q * beta[j + k + 1, :m]
-                counts += np.bincount(got, a[j, :m] * q * beta[j + k + 1, :m] * w[:m], len(p))
+        own = weight[self.order]
+        q = np.where(self.piece > 0, p[self.piece, 0], floor[0])
+        for j in range(self.longest, 0, -1):
+            lo, hi = self._end[j], self._end[j + 1]
+            w, i, piece = self.word[lo:hi], self.begin[lo:hi], self.piece[lo:hi]
+            back = q[lo:hi] * beta[j, w]
+            if scale is not None:
+                back = back * np.exp(scale[j, w] - scale[i, w])
+            np.add.at(beta, (i, w), back)
+            counts += np.bincount(piece, a[i, w] * back * own[w], len(p))
         counts[0] = 0
         return counts
 
 
+def batches_of(words: list[str], langs: int) -> list[np.ndarray]:
+    """Numbers of words, the longest first, in batches whose sums take some BATCH_CELLS numbers."""
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    order, out, a = np.argsort(-size, kind="stable"), [], 0
+    while a < len(order):
+        n = max(1, BATCH_CELLS // int(size[order[a]] * max(1, langs)))
+        out.append(order[a : a + n])
+        a += n
+    return out
+
+
+def train_language(counts: dict[str, int], pieces: list[str], table: PieceTable, rounds: int = ROUNDS) -> np.ndarray:
+    """Probabilities of (none and) each piece from one language's word counts."""
+    words = sorted(counts)
+    size = np.array([1, *map(len, pieces)])
+    floor = np.full(1, FLOOR)
+    parts = [(Lattice([words[i] for i in part], table), np.array([counts[words[i]] for i in part], float)) for part in batches_of(words, 1)]
+    p = sum(np.bincount(x.piece, minlength=len(size)) for x, _ in parts) + 0.1
+    p = p / size
+    p[0] = 0
+    p = p[:, None] / p.sum()
+    for _ in range(rounds):
+        got = sum(x.expected(p, floor, weight) for x, weight in parts) + 0.01
+        got[0] = 0
+        p = got[:, None] / got.sum()
+    return p[:, 0]
+
+
 def train(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, piece probabilities (pieces + 1) x languages, and the floor of an unknown character, from word counts by language."""
-    langs = sorted(k for k in counts if counts[k])
-    table = PieceTable(pieces)
-    size = np.array([0, *map(len, pieces)])
-    out = np.zeros((len(pieces) + 1, len(langs)))
-    floor = np.full(len(langs), 1e-7)
-    for i, lang in enumerate(langs):
-        words = sorted(counts[lang])
-        lattice, weight = Lattice(words, table), np.array([counts[lang][w] for w in words], float)
-        seen = sum(np.bincount(x, minlength=len(size)) for x in lattice.piece)
-        p = (seen + 0.1) * 1.0 / np.maximum(1, size)
-        p[0] = 0
-        p = p[:, None] / p.sum()
-        for _ in range(rounds):
-            got = lattice.expected(p, floor[i : i + 1], weight) + 0.01
-            got[0] = 0
-            p = got[:, None] / got.sum()
-        out[:, i] = p[:, 0]
-    return langs, out, floor
+    langs, table = sorted(k for k in counts if counts[k]), PieceTable(pieces)
+    out = [train_language(counts[k], pieces, table, rounds) for k in langs]
+    return langs, np.stack(out, 1) if out else np.zeros((len(pieces) + 1, 0)), np.full(len(langs), FLOOR)
 
 
 def fit(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_DOCS):
     """Fit on rows whose crc32(id as text) mod 4 is not 2."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).where("_lang IS NOT NULL AND _id IS NOT NULL").where(~held_out("_id", 4, 2))
-    picked = bounded_sample(rows, "_lang", per_language, "_id", MAX_LANGUAGES).dropDuplicates()
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(picked), ["_id", "_lang"], "left_semi")
+    own = docs.select(column(id_col).alias("_id"), column(lang_col).cast("string").alias("_lang"), column(text_col).alias("_text")).where("_lang IS NOT NULL AND _id IS NOT NULL").where(~held_out("_id", 4, 2))
+    picked = bounded_sample(own.select("_id", "_lang"), "_lang", per_language, "_id")
+    sample = own.where(F.octet_length("_text") <= TEXT_BYTES).join(picked, ["_id", "_lang"], "left_semi").groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
 
     def count(batches):
         counts: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b.column("_lang").to_pylist(), b.column("_text").to_pylist(), strict=True):
-                own = counts.setdefault(lang, Counter())
+                known = counts.setdefault(lang, Counter())
                 for token, n in Counter(text.lower().split()).items():
                     for w in letter_words(token):
                         if w:
-                            own[w[:LONGEST]] += n
-        for lang, own in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
-
-    words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = words.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= FIT_WORDS).drop("r").toArrow()
-    counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in zip(best["lang"].to_pylist(), best["word"].to_pylist(), best["n"].to_pylist(), strict=True):
-        counts.setdefault(lang, {})[word] = n
-    pieces = vocabulary(path)
-    langs, p, floor = train(counts, pieces)
-    return spark.sparkContext.broadcast((langs, pieces, p.astype(np.float32), floor))
+                            known[w] += n
+        for lang, known in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(known), pa.string()), pa.array(list(known), pa.string()), pa.array(list(known.values()), pa.int64())], names=["lang", "word", "n"])
+
+    def fitted(rows: pa.Table) -> pa.Table:
+        counts: Counter = Counter()
+        for word, n in zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True):
+            counts[word] += n
+        pieces = vocabulary(path)
+        p = train_language(counts, pieces, PieceTable(pieces)).astype("<f4")
+        return pa.table({"lang": rows["lang"][:1], "p": pa.array([p.tobytes()], pa.binary())})
+
+    # a language's words meet in one task, at most FIT_DOCS texts of TEXT_BYTES
+    words = sample.mapInArrow(count, "lang string, word string, n long")
+    got = words.groupBy("lang").applyInArrow(fitted, "lang string, p binary").toArrow().sort_by("lang")
+    langs, pieces = got["lang"].to_pylist(), vocabulary(path)
+    p = np.stack([np.frombuffer(x, "<f4") for x in got["p"].to_pylist()], 1) if langs else np.zeros((len(pieces) + 1, 0), np.float32)
+    return spark.sparkContext.broadcast((langs, pieces, p, np.full(len(langs), FLOOR)))
 
 
 class Scorer:
@@ -231,15 +282,14 @@ class Scorer:
         parts, owner = [], []
         for i, t in enumerate(tokens):
             for w in letter_words(t):
-                for a in range(0, len(w), LONGEST):
-                    parts.append(w[a : a + LONGEST])
-                    owner.append(i)
+                parts.append(w)
+                owner.append(i)
         new = np.zeros((len(tokens), self.rows.shape[1]))
         if parts and self.langs:
             own = np.array(owner)
-            for a in range(0, len(parts), 20_000):
-                got = Lattice(parts[a : a + 20_000], self.table).forward(self.p, self.floor)
-                np.add.at(new[:, :-1], own[a : a + 20_000], got)
+            for at in batches_of(parts, len(self.langs)):
+                got = Lattice([parts[i] for i in at], self.table).forward(self.p, self.floor)
+                np.add.at(new[:, :-1], own[at], got)
             np.add.at(new[:, -1], own, 1.0)
         n = len(self.row)
         while n + len(tokens) > len(self.rows):
@@ -250,7 +300,7 @@ class Scorer:
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         split = [(t or "").lower().split() for t in texts]
         new = set().union(*split) - self.row.keys() if split else set()
-        if len(self.row) + len(new) > CACHE_ROWS and self.row:
+        if (len(self.row) + len(new)) * self.rows.itemsize * self.rows.shape[1] > CACHE_BYTES and self.row:
             self.forget()
             new = set().union(*split)
         if new:
@@ -271,11 +321,11 @@ class Scorer:
 def identify(docs: DataFrame, model, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
 
-    def make():
+    def make(column):
         scorer = Scorer(model.value)
 
         def work(batch: pa.RecordBatch) -> list:
-            texts = batch.column(text_col).to_pylist()
+            texts = batch.column(column).to_pylist()
             out: tuple[list, list] = ([], [])
             for a in range(0, len(texts), 512):
                 for x, got in zip(out, scorer.score(texts[a : a + 512]), strict=True):

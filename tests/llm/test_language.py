@@ -83,9 +83,65 @@ def test_cache_can_be_forgotten():
     model = (["a", "b"], ["▁", "x", "y"], np.array([[0, 0], [0.1, 0.1], [0.8, 0.1], [0.1, 0.8]], np.float32), np.array([1e-6, 1e-6]))
     s = language.Scorer(model)
     first = s.score(["xx xy", "yy", None, "12"])
-    language.CACHE_ROWS, kept = 1, language.CACHE_ROWS
+    language.CACHE_BYTES, kept = 1, language.CACHE_BYTES
     try:
         assert s.score(["xx xy"])[1][0] == first[1][0] and s.score(["yy"])[0] == ["b"]
     finally:
-        language.CACHE_ROWS = kept
+        language.CACHE_BYTES = kept
     assert first[0] == ["a", "b", "und", "und"]
+
+
+def test_words_of_any_length_are_scored_whole():
+    """Long words, by exact fractions over all segmentations; expected counts sum as they must."""
+    from fractions import Fraction
+
+    pieces = ["▁", "▁a", "a", "b", "ab", "babab", "ababababababab"]
+    rng = np.random.default_rng(3)
+    p = np.r_[0, rng.random(len(pieces)) / 50][:, None] * [1.0, 0.7]
+    floor = np.array([1e-7, 1e-7])
+    words = ["ab" * 400, "z" * 300, "abz" * 90, "a", "zab"]
+    lattice = language.Lattice(words, language.PieceTable(pieces))
+    got = lattice.forward(p, floor)
+    for i, w in enumerate(words):
+        marked = "▁" + w
+        for lang in range(2):
+            total = [Fraction(1)]
+            for j in range(1, len(marked) + 1):
+                part = Fraction(0)
+                for k in range(1, min(j, 14) + 1):
+                    s = marked[j - k : j]
+                    q = p[pieces.index(s) + 1, lang] if s in pieces else floor[lang] if k == 1 else 0.0
+                    part += total[j - k] * Fraction(q)
+                total.append(part.limit_denominator(10**3000) if part.denominator > 10**4000 else part)
+            want = math.log(total[-1].numerator) - math.log(total[-1].denominator)
+            assert got[i, lang] == pytest.approx(want, rel=1e-9)
+    counts = lattice.expected(p[:, :1], floor[:1], np.ones(len(words)))
+    letters = sum(len(x) * n for x, n in zip(pieces, counts[1:], strict=True))
+    assert letters == pytest.approx(sum(1 + len(w) for w in words) - sum(w.count("z") for w in words), rel=1e-6)
+
+
+def test_prediction_against_plain_sums():
+    """Whole texts: the product over words of the sums over segmentations, posterior under equal priors."""
+    pieces = ["▁", "▁a", "a", "b", "c", "ab", "bc", "▁c"]
+    rng = np.random.default_rng(4)
+    p = np.zeros((len(pieces) + 1, 3))
+    p[1:] = rng.random((len(pieces), 3)) / 10
+    floor = np.full(3, 1e-4)
+    s = language.Scorer((["x", "y", "z"], pieces, p.astype(np.float32), floor))
+    texts = ["Abc cab, a!", "bc2bc cc", "AB ab aB", "12", None, "xyz abc"]
+    p = p.astype(np.float32).astype(float)
+    for text, lang, score in zip(texts, *s.score(texts), strict=True):
+        words = [w for t in (text or "").lower().split() for w in language.letter_words(t)]
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        total = np.array([math.prod(sum(math.prod(p[pieces.index(x) + 1, k] if x in pieces else floor[k] for x in seg) for seg in segmentations("▁" + w, pieces)) for w in words) for k in range(3)])
+        assert lang == "xyz"[total.argmax()] and score == pytest.approx(total.max() / total.sum(), rel=1e-4)
+
+
+def test_many_languages_and_long_texts_stay_small():
+    """200 languages: batches are cut so that the forward sums stay within BATCH_CELLS."""
+    words = ["ab" * 2000, *("w%d" % i for i in range(3000))]
+    parts = language.batches_of(words, 200)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(len(words)))
+    assert all(len(x) == 1 or len(x) * max(len(words[i]) + 2 for i in x) * 200 <= language.BATCH_CELLS for x in parts)
