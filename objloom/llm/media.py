@@ -6,28 +6,27 @@ file's bytes are cut where a rolling gear hash of the last 32 bytes has
 ``MASK_BITS`` zero bits, between ``LEAST`` and ``MOST`` bytes after the last
 cut, so equal stretches of different payloads give equal chunks.
 
-1. *Manifests*: each medium's digest and its ordered list of chunk digests (no
-   bytes), written to the shared folder.
-2. *Deduplication*: media with the same digest keep one list; of the media that
-   have a chunk, the one of the least digest owns it.  Both are aggregations over
-   digests alone, combined before their shuffle, and joins give each medium the
-   chunks that it lacks and those that others want of it.
-3. *Store*: every distinct chunk, compressed with a small shared zstandard
-   dictionary, is written once to the shared folder, with its digest, in the row
-   of the medium that owns it; so are the media's ordered lists and the
-   dictionary.  ``chunk_table`` gives the store as rows of digest and data.
-4. *Reconstruction*: every medium is rebuilt from the written store by its list.
-   One that owns all its chunks finds them by digest in its row; to the others
-   lacking chunks are joined by digest, and a medium's chunks are brought
-   together in order.  Each chunk must have its digest, and the joined bytes the
-   medium's, else the job fails.  Samples are read from the WAV and features are
-   computed from them.
-
-So chunk bytes move once before they are written, and once or twice more in
-media that share chunks.
-
-Documents get the features of their medium by its digest, so a text that many
-documents share is reconstructed once.
+1. *Repeated chunks*: each text is cut and only the digests of its chunks are
+   counted, combined before their shuffle.  Those of two or more texts go into
+   a Bloom filter of at most ``BLOOM_BITS`` bits (16 MB), which is broadcast.
+2. *Store*: every distinct chunk, compressed with a small shared zstandard
+   dictionary, is written once to the shared folder.  A chunk that isn't in the
+   filter is in one text only, so the task that cuts the text writes it, with
+   its digest, in the row of the medium and its ordered list of digests: its
+   bytes are never shuffled.  Chunks in the filter are joined by digest and
+   written once each to a second table.  What the filter takes for repeated by
+   mistake, or because it is full, only moves more bytes.
+3. *Reconstruction*: every medium is rebuilt from the written tables by its
+   ordered list.  One whose chunks are all in its row is rebuilt in the task
+   that reads it.  To others, repeated chunks are joined by digest (AQE splits
+   the join where a chunk is very frequent), once for each different medium,
+   and list, own chunks and joined ones are brought together.  Each chunk must
+   be there and have its digest, and the joined bytes the medium's, else the
+   job fails.  Samples are read from the WAV and features are computed from
+   them.
+
+A text that many documents share is reconstructed once: documents get what was
+read back of it by the medium's digest.
 
 Defined results: null is the empty text (one block of spaces); equal texts have
 equal values; repeated rows give repeated rows; extra columns are ignored; an
@@ -46,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from objloom.llm.common import first_texts, utf8, written
+from objloom.llm.common import column, sampled_texts, utf8, written
 
 BLOCK = 192
 RATE = 8000
@@ -56,6 +55,10 @@ SAMPLE_ROWS = 400
 DICT_BYTES = 65_536
 HEADER = 44
 SLICE = 256
+#: Most bits of the filter of repeated chunks; bits for each of them where there is room; bits set for each.
+BLOOM_BITS, BITS_EACH, PROBES = 1 << 27, 16, 4
+#: Digests of repeated chunks that a task remembers having emitted.
+EMITTED = 100_000
 
 #: The gear table: a fixed pseudo-random 32-bit number for each byte.
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4).digest() for b in range(256)), "<u4")
@@ -119,15 +122,17 @@ def features(payload: bytes) -> str:
     return f"n={n};peak={int(np.abs(x).max())};mean={int(x.sum()) * 1000 // n};power={int((x * x).sum()) // n};cross={int((sign[1:] != sign[:-1]).sum())};steps={int(np.abs(np.diff(x)).sum())};values={len(np.unique(x))}"
 
 
-MANIFEST = "doc_id long, n_bytes long, payload_bytes long, media_bytes long, media binary, digests array<binary>"
-FOUND = "media binary, payload_sha256 string, tail_crc32 long, feature string"
+CHUNK = pa.struct([("digest", pa.binary()), ("data", pa.binary())])
+STORED = "doc_id long, n_bytes long, payload_bytes long, media_bytes long, media binary, digests array<binary>, chunks array<struct<digest:binary,data:binary>>, complete boolean"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(CHUNK), pa.bool_()]
+READ = "payload_sha256 string, tail_crc32 long, feature string"
 
 
 def _dictionary(docs: DataFrame, text_col: str) -> bytes:
     """A zstandard dictionary from a bounded sample; it affects the stored size, never results."""
     import zstandard as z
 
-    own = [x for t in first_texts(docs, text_col, SAMPLE_ROWS) for x in chunks(to_wav(payload_of(t.encode())))]
+    own = [x for t in sampled_texts(docs, text_col, SAMPLE_ROWS) for x in chunks(to_wav(payload_of(t.encode())))]
     try:
         return z.train_dictionary(DICT_BYTES, own, level=LEVEL).as_bytes()
     except z.ZstdError:
@@ -151,21 +156,35 @@ def _slices(batches):
             yield b.slice(i, SLICE)
 
 
-def _manifests(batches):
-    for b in _slices(batches):
-        out: list[list] = [[] for _ in range(6)]
-        for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-            payload = payload_of(text)
-            media = to_wav(payload)
-            row = (doc, len(text), len(payload), len(media), hashlib.sha256(media).digest(), [digest(c) for c in chunks(media)])
-            for x, v in zip(out, row, strict=True):
-                x.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "payload_bytes", "media_bytes", "media", "digests"])
+def _probes(digests: list[bytes], bits: int) -> np.ndarray:
+    """Positions in a filter of so many bits, a row for each digest."""
+    return np.frombuffer(b"".join(digests), "<u4").reshape(len(digests), 4)[:, :PROBES] & np.uint32(bits - 1)
 
 
-STORED = "media binary, digests array<binary>, lacks array<int>, chunks array<struct<digest:binary,data:binary,wanted:boolean>>"
-_NOBODY = -(2**63)  # an id that no row has, for rows without an id
+def _filter(repeated: DataFrame) -> np.ndarray:
+    """A Bloom filter of the digests as 64-bit words, of a size bounded whatever their number."""
+    n = repeated.count()
+    bits = min(BLOOM_BITS, max(1 << 10, 1 << (BITS_EACH * max(1, n) - 1).bit_length()))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                at = _probes(b.column(0).to_pylist(), bits).ravel().astype(np.int64)
+                word, bit = at >> 6, np.left_shift(np.uint64(1), (at & 63).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], names=["word", "bit"])
+
+    rows = repeated.select("digest").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # BLOOM_BITS / 64 rows at most
+    out = np.zeros(bits >> 6, np.uint64)
+    out[rows["word"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
+    return out
+
+
+def _among(words: np.ndarray, digests: list[bytes]) -> np.ndarray:
+    """Which of the digests the filter has."""
+    if not digests:
+        return np.zeros(0, bool)
+    at = _probes(digests, len(words) << 6).astype(np.int64)
+    return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
 
 
 def _chunk(key: bytes, data: bytes, unpack) -> bytes:
@@ -176,8 +195,13 @@ def _chunk(key: bytes, data: bytes, unpack) -> bytes:
     return raw
 
 
-def _described(media: bytes, key: bytes) -> tuple[str, int, str]:
-    """What is read back from a stored medium."""
+def _described(listed: list[bytes], have: dict[bytes, bytes], key: bytes, unpack) -> tuple[str, int, str]:
+    """What is read back from the stored chunks of a medium."""
+    lost = [d.hex() for d in listed if d not in have]
+    if lost:
+        raise ValueError(f"medium {key.hex()} lacks chunks {', '.join(lost[:3])}")
+    raw = {d: _chunk(d, have[d], unpack) for d in set(listed)}
+    media = b"".join(raw[d] for d in listed)
     if hashlib.sha256(media).digest() != key:
         raise ValueError(f"medium {key.hex()} was not reconstructed")
     payload = from_wav(media)
@@ -188,92 +212,97 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def chunk_table(store: DataFrame) -> DataFrame:
-    """digest and data of a written store's chunks."""
-    return store.select(F.explode("chunks").alias("c")).select("c.digest", "c.data")
+def chunk_table(media: DataFrame, repeated: DataFrame) -> DataFrame:
+    """digest and data of all stored chunks, from the two written tables."""
+    return media.select(F.explode("chunks").alias("c")).select("c.digest", "c.data").unionAll(repeated.select("digest", "data"))
 
 
 def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of every row."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    source = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("_text"))
     dictionary = written(spark.createDataFrame([(bytearray(_dictionary(docs, text_col)),)], "dictionary binary"), "dictionary")
     coded = spark.sparkContext.broadcast(bytes(dictionary.head().dictionary))
-    manifest = written(source.mapInArrow(_manifests, MANIFEST), "manifest")
 
-    media = manifest.groupBy("media").agg(F.min(F.coalesce("doc_id", F.lit(_NOBODY))).alias("doc"), F.first("digests").alias("digests"))
-    refs = media.select("media", F.posexplode("digests").alias("idx", "digest"))
-    owners = refs.groupBy("digest").agg(F.min("media").alias("owner"))
-    lacking = written(refs.join(owners, "digest").where("owner <> media"), "lacking")
-    info = media.join(lacking.groupBy("media").agg(F.collect_list("idx").alias("lacks")), "media", "left").join(
-        lacking.groupBy(F.col("owner").alias("media")).agg(F.collect_set("digest").alias("wanted")), "media", "left"
-    )
-
-    def emit(batches):
-        pack = _coder(coded.value)[0]
+    def cut(batches):
         for b in _slices(batches):
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                wav = to_wav(payload_of(text))
-                rows.append((_NOBODY if doc is None else doc, hashlib.sha256(wav).digest(), [pack(c) for c in chunks(wav)]))
-            yield _batch(rows, ["doc", "media", "packed"], [pa.int64(), pa.binary(), pa.list_(pa.binary())])
+            yield pa.RecordBatch.from_arrays([pa.array([d for t in utf8(b.column(0)) for d in {digest(c) for c in chunks(to_wav(payload_of(t)))}], pa.binary())], names=["digest"])
+
+    counted = source.select("_text").mapInArrow(cut, "digest binary").groupBy("digest").agg(F.count("*").alias("n"))
+    known = spark.sparkContext.broadcast(_filter(written(counted.where("n > 1").select("digest"), "repeated")))
 
     def keep(batches):
-        """The chunks that each medium owns, each once, with the medium's ordered list."""
-        kinds = [pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary()), ("wanted", pa.bool_())]))]
+        """A row for each document: its list, and the chunks that no other text has."""
+        pack, among = _coder(coded.value)[0], known.value
         for b in _slices(batches):
             rows = []
-            for key, packed, listed, lacks, wanted in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                lost, others = set(lacks or ()), set(wanted or ())
-                own = {d: c for i, (d, c) in enumerate(zip(listed, packed, strict=True)) if i not in lost}
-                rows.append((key, listed, lacks, [{"digest": d, "data": c, "wanted": d in others} for d, c in own.items()]))
-            yield _batch(rows, ["media", "digests", "lacks", "chunks"], kinds)
-
-    # the same row twice is one row of the store; the join has dealt and sorted rows by these keys already
-    placed = source.mapInArrow(emit, "doc long, media binary, packed array<binary>").join(info, ["doc", "media"]).dropDuplicates(["doc", "media"])
-    store = written(placed.select("media", "packed", "digests", "lacks", "wanted").mapInArrow(keep, STORED), "chunks")
+            for doc, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                payload = payload_of(text)
+                wav = to_wav(payload)
+                cut_up = chunks(wav)
+                listed = [digest(c) for c in cut_up]
+                moved = _among(among, listed)
+                own = {d: c for d, c, away in zip(listed, cut_up, moved, strict=True) if not away}
+                rows.append((doc, len(text), len(payload), len(wav), hashlib.sha256(wav).digest(), listed, [{"digest": d, "data": pack(c)} for d, c in own.items()], not moved.any()))
+            yield _batch(rows, names, KINDS)
 
-    found, found_kinds = ["media", "payload_sha256", "tail_crc32", "feature"], [pa.binary(), pa.string(), pa.int64(), pa.string()]
+    def emit(batches):
+        """Chunks that other texts have, too; a task emits one again only after many others."""
+        pack, among, done = _coder(coded.value)[0], known.value, set()
+        for b in _slices(batches):
+            rows = {}
+            for text in utf8(b.column(0)):
+                cut_up = chunks(to_wav(payload_of(text)))
+                listed = [digest(c) for c in cut_up]
+                for i in np.flatnonzero(_among(among, listed)):
+                    if listed[i] not in done:
+                        done.add(listed[i])
+                        rows[listed[i]] = pack(cut_up[i])
+            if len(done) > EMITTED:
+                done.clear()
+            yield _batch(list(rows.items()), ["digest", "data"], [pa.binary(), pa.binary()])
+
+    names = [x.split()[0] for x in STORED.split(", ")]
+    media = written(source.mapInArrow(keep, STORED), "media")
+    repeated = written(source.select("_text").mapInArrow(emit, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data")), "chunks")
+
+    done = ["doc_id", "n_bytes", "payload_bytes", "media_bytes", "media"]
+    found, found_kinds = [*done, "payload_sha256", "tail_crc32", "feature"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string()]
 
     def read_back(batches):
-        """Media that own all their chunks, from the row of the store by the list of digests."""
+        """Media whose chunks are all in their row."""
         unpack = _coder(coded.value)[1]
         for b in _slices(batches):
             rows = []
-            for key, listed, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                have = {c["digest"]: _chunk(c["digest"], c["data"], unpack) for c in own}
-                rows.append((key, *_described(b"".join(have[d] for d in listed), key)))
+            for *head, key, listed, own in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                rows.append((*head, key, *_described(listed, {c["digest"]: c["data"] for c in own}, key, unpack)))
             yield _batch(rows, found, found_kinds)
 
-    def pieces_of(batches):
-        """The chunks that a medium has itself, at each of their places in its list."""
-        for b in _slices(batches):
-            rows = []
-            for key, listed, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                have = {c["digest"]: c["data"] for c in own}
-                rows += [(key, i, d, have[d]) for i, d in enumerate(listed) if d in have]
-            yield _batch(rows, ["media", "idx", "digest", "data"], [pa.binary(), pa.int32(), pa.binary(), pa.binary()])
-
-    shared = chunk_table(store.select(F.filter("chunks", lambda c: c["wanted"]).alias("chunks")))
-    fetched = shared.join(lacking.select("media", "idx", "digest"), "digest").select("media", "idx", "digest", "data")
-    parts = store.where("lacks IS NOT NULL").select("media", "digests", "chunks").mapInArrow(pieces_of, "media binary, idx int, digest binary, data binary").unionAll(fetched)
-
     def rebuild(batches):
+        """Rows (media, kind, digests, chunks) sorted by the first two: a medium's list and own chunks, then the joined ones."""
         unpack = _coder(coded.value)[1]
-        key, pieces, rows = None, {}, []
-        close = lambda: (key, *_described(b"".join(pieces[i] for i in sorted(pieces)), key))
+        key, listed, have, rows = None, [], {}, []
+        close = lambda: (key, *_described(listed, have, key, unpack))
         for b in _slices(batches):
-            for m, i, d, c in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for m, digests, more in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                 if m != key:
                     if key is not None:
                         rows.append(close())
-                    key, pieces = m, {}
-                pieces[i] = _chunk(d, c, unpack)
-            yield _batch(rows, found, found_kinds)
+                    key, listed, have = m, [], {}
+                listed = digests or listed
+                have |= {c["digest"]: c["data"] for c in more}
+            yield _batch(rows, ["media", *found[5:]], found_kinds[4:])
             rows = []
         if key is not None:
-            yield _batch([close()], found, found_kinds)
-
-    rebuilt = parts.repartition("media").sortWithinPartitions("media", "idx").mapInArrow(rebuild, FOUND)
-    done = store.where("lacks IS NULL").select("media", "digests", "chunks").mapInArrow(read_back, FOUND).unionAll(rebuilt)
-    return manifest.drop("digests").join(done, "media").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
+            yield _batch([close()], ["media", *found[5:]], found_kinds[4:])
+
+    whole = media.where("complete").select(*done, "digests", "chunks").mapInArrow(read_back, ", ".join(STORED.split(", ")[:5]) + ", " + READ)
+    rest = media.where("NOT complete")
+    lists = rest.groupBy("media").agg(F.first("digests").alias("digests"), F.first("chunks").alias("chunks"))
+    own = F.transform("chunks", lambda c: c["digest"])
+    wanted = lists.select("media", F.explode(F.array_except("digests", own)).alias("digest"))
+    joined = wanted.join(repeated, "digest").select("media", F.lit(1).alias("kind"), F.array().cast("array<binary>").alias("digests"), F.array(F.struct("digest", "data")).alias("chunks"))
+    parts = lists.select("media", F.lit(0).alias("kind"), "digests", "chunks").unionAll(joined)
+    rebuilt = parts.repartition("media").sortWithinPartitions("media", "kind").mapInArrow(rebuild, "media binary, " + READ)
+    made = whole.unionAll(rest.select(*done).join(rebuilt, "media").select(*done, *found[5:]))
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")

@@ -46,15 +46,58 @@ def test_store_alone_gives_every_medium(spark, monkeypatch):
     paths, keep = {}, media.written
     monkeypatch.setattr(media, "written", lambda df, name: paths.setdefault(name, keep(df, name)))
     check(media.store_media(docs.unionAll(docs)).collect(), texts)
-    rows = media.chunk_table(paths["chunks"]).collect()
+    rows = media.chunk_table(paths["media"].dropDuplicates(["media"]), paths["chunks"]).collect()
     unpack = media._coder(bytes(paths["dictionary"].head().dictionary))[1]
     store = {bytes(x.digest): unpack(bytes(x.data)) for x in rows}
     want = [media.to_wav(media.payload_of(t.encode())) for t in texts]
     assert len(rows) == len(store) and set(store) == {media.digest(c) for w in want for c in media.chunks(w)}
-    lists = {x.doc_id: x.digests for x in paths["manifest"].collect()}
+    lists = {x.doc_id: x.digests for x in paths["media"].collect()}
     assert [b"".join(store[bytes(d)] for d in lists[i]) for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("table", ["media", "chunks"])
+def test_a_lost_chunk_file_fails_the_job(spark, monkeypatch, table):
+    """Results come from the written store: without one of its files there are none."""
+    import os
+
+    r = random.Random(5)
+    noise = lambda n: "".join(r.choice("abcdefghij klmnop") for _ in range(n))
+    shared = noise(20_000)
+    docs = frame(spark, [noise(9000), noise(3000) + shared, noise(2000) + shared])
+    paths, keep = {}, media.written
+    monkeypatch.setattr(media, "written", lambda df, name: paths.setdefault(name, keep(df, name)))
+    made = media.store_media(docs)
+    for f in paths[table].inputFiles():
+        os.remove(f.removeprefix("file://"))
+    with pytest.raises(Exception, match="does not exist|FileNotFound|FAILED_READ_FILE|lacks chunks"):
+        made.collect()
+
+
+def test_a_changed_chunk_is_refused():
+    data = media.to_wav(media.payload_of(b"some text"))
+    pack, unpack = media._coder(b"")
+    key = hashlib.sha256(data).digest()
+    have = {media.digest(c): pack(c) for c in media.chunks(data)}
+    listed = list(have)
+    assert media._described(listed, have, key, unpack)[0] == hashlib.sha256(media.from_wav(data)).hexdigest()
+    with pytest.raises(ValueError, match="lacks chunks"):
+        media._described(listed, {}, key, unpack)
+    with pytest.raises(ValueError, match="not reconstructed"):
+        media._described(listed, {listed[0]: pack(b"other")}, key, unpack)
+
+
+@pytest.mark.parametrize("bits", [1 << 10, 1 << 27])
+def test_a_full_filter_changes_nothing(spark, monkeypatch, bits):
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefghij klmnop") for _ in range(r.randrange(6000))) for _ in range(40)]
+    texts += texts
+    monkeypatch.setattr(media, "BLOOM_BITS", bits)
+    monkeypatch.setattr(media, "BITS_EACH", 1 if bits == 1 << 10 else 16)
+    rows = media.store_media(frame(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    check(rows, texts)
+
+
 def test_rows_without_id(spark):
     rows = media.store_media(spark.createDataFrame([(None, "a"), (None, "b"), (1, "b")], "doc_id long, text string")).collect()
     assert len(rows) == 3 and len({r.media_sha256 for r in rows}) == 2
