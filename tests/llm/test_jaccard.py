@@ -99,21 +99,100 @@ def test_depth_and_sketch():
     assert len(jaccard.shingles("x y z".encode())) == 1 and len(jaccard.shingles(b"?!")) == 0
 
 
-def test_large_nodes_are_united_as_they_go_by(monkeypatch):
+def walk(rows, depth=2, cut=3):
     import pyarrow as pa
 
-    monkeypatch.setattr(jaccard, "NODE_ROWS", 4)
-    same, other = bytes(32), bytes([0x12] * 32)
-    rows = [(7, i, same) for i in (9, 5, 8, 3, 7, 2, 11)] + [(8, 1, same), (8, 4, other), (8, 6, same)]
-    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part]) for i in range(3)], names=["p", "s", "c"]) for part in (rows[:3], rows[3:])]
-    links = [tuple(x.values()) for b in jaccard._nodes(batches) for x in b.to_pylist()]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.binary()) for i in range(3)], names=["p", "s", "c"]) for part in (rows[:cut], rows[cut:])]
+    return [tuple(x.values()) for b in jaccard._nodes(depth)(batches) for x in b.to_pylist()]
+
+
+def linked(links, start):
     up = {}
-    for a, b in links:
+    for a, b, _ in links:
         up.setdefault(a, set()).add(b)
         up.setdefault(b, set()).add(a)
-    seen, todo = {3}, [3]
+    seen, todo = {start}, [start]
     while todo:
-        for k in up[todo.pop()] - seen:
+        for k in up.get(todo.pop(), set()) - seen:
             seen.add(k)
             todo.append(k)
-    assert seen == {9, 5, 8, 3, 7, 2, 11} and (6, 1) in links and not any(4 in x for x in links)
+    return seen
+
+
+def test_large_nodes_are_linked_as_they_go_by(monkeypatch):
+    monkeypatch.setattr(jaccard, "NODE_ROWS", 4)
+    same, other = bytes(32), bytes([0x12] * 32)
+    path = lambda k, rest: bytes([0, 0, k, 0, 1]) + rest
+    rows = [(path(7, b"%d" % i), b"%d" % i, same) for i in (1, 2, 3, 5, 7, 8, 9)] + [(path(8, b"1"), b"x", same), (path(8, b"4"), b"y", other), (path(8, b"6"), b"z", same)]
+    links = walk(rows)
+    assert linked(links, b"3") == {b"1", b"2", b"3", b"5", b"7", b"8", b"9"}
+    assert (b"z", b"x", 64) in links and not any(b"y" in x[:2] for x in links)
+
+
+def test_nodes_are_prefixes_of_sorted_paths():
+    """With shorter prefixes more rows meet; longer ones are within them."""
+    r = random.Random(2)
+    rows = sorted((bytes([0] + [r.randrange(2) for _ in range(8)]), b"%d" % i, bytes(32)) for i in range(60))
+    parts = {}
+    for depth in (4, 2, 1):
+        links = walk(rows, depth, 17)
+        got = {frozenset(linked(links, i)) for _, i, _ in rows}
+        want = {}
+        for p, i, _ in rows:
+            want.setdefault(p[: 1 + 2 * depth], set()).add(i)
+        assert got == {frozenset(x) for x in want.values()}
+        parts[depth] = got
+    assert all(any(x <= y for y in parts[1]) for x in parts[4])
+
+
+def test_estimated_recall():
+    """The inverse-probability estimate is the share of pairs met, for pairs of known similarity."""
+    rng = np.random.default_rng(1)
+    for depth in (6, 4):
+        found, met, n = {}, 0, 4000
+        for j in rng.choice([0.82, 0.86, 0.95], n):
+            same = rng.random((jaccard.DEPTH, jaccard.TREES)) < j
+            if same[:depth].all(0).any():
+                k = round(64 * (1 / 16 + 15 / 16 * j))
+                found[k] = found.get(k, 0) + 1
+                met += 1
+        assert abs(jaccard.estimated_recall(found, depth)[0] - met / n) < 0.006
+    assert jaccard.estimated_recall({}, 5) == (0.0, 0)
+
+
+def test_depth_adapts(spark, monkeypatch):
+    """Pairs that are much alike end the walk early; pairs at the threshold shorten the prefixes to the last depth."""
+    seen, keep = [], jaccard._nodes
+    monkeypatch.setattr(jaccard, "_nodes", lambda depth: seen.append(depth) or keep(depth))
+    r = random.Random(8)
+    vocab = ["w%d" % i for i in range(5000)]
+    for changes, want in ((1, [6]), (9, [6, 5, 4])):
+        texts = []
+        for _ in range(400):
+            own = [r.choice(vocab) for _ in range(420)]
+            texts.append(" ".join(own))
+            for k in range(changes):
+                own[5 + 46 * k] = r.choice(vocab)
+            texts.append(" ".join(own))
+        seen.clear()
+        got = by_id(jaccard.join(frame(spark, texts)))
+        assert seen == want
+        assert sum(got[2 * i].class_id == got[2 * i + 1].class_id for i in range(400)) >= 398
+
+
+def test_measured_recall_of_near_copies(spark):
+    """Pairs of every similarity from 0.8 up, each far from all other texts: at least 99.5 % are found, and no pair under 0.8."""
+    r = random.Random(11)
+    texts, want = [], []
+    for i in range(500):
+        own = [f"w{i}x{k}" for k in range(r.randrange(60, 300))]
+        other = list(own)
+        for k in r.sample(range(len(own)), r.randrange(0, 1 + len(own) // 35)):
+            other[k] = "new"
+        sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (own, other)]
+        want.append(5 * len(sets[0] & sets[1]) >= 4 * len(sets[0] | sets[1]))
+        texts += [" ".join(own), " ".join(other)]
+    got = by_id(jaccard.join(frame(spark, texts)))
+    found = [got[2 * i].class_id == got[2 * i + 1].class_id for i in range(500)]
+    assert sum(w and f for w, f in zip(want, found, strict=True)) >= 0.995 * sum(want) > 100
+    assert not any(f and not w for w, f in zip(want, found, strict=True))
