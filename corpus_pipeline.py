@@ -1,9 +1,17 @@
 """A corpus pipeline of five operators; each stage's result is written and read again as the next one's documents.
 
 toxicity: rejected documents go.  near_duplicates: of each class of near
-copies the document of the least id stays.  decontamination: contaminated
-documents go.  secrets: secret spans are replaced by a mark, and n_chars
-follows.  packing: the remaining documents become packed sequences.
+copies the document of the least id stays.  decontamination: documents that
+hold a window of any benchmark item go, one item being enough.  secrets: secret
+spans are replaced by a mark, and n_chars follows.  packing: the remaining
+documents become packed sequences.
+
+Defined results, for every stage: a null text is kept as it is by all stages
+(it saves nothing, is like no other text, holds no window and no secret) and is
+packed as the end id alone; of repeated rows (equal id and text) the stage
+near_duplicates keeps one, so is it with equal texts, and ties go to the least
+id; an empty table gives no rows; all stages but the last return the columns of
+documents, extra ones included, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,15 +19,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from objloom.llm import decontamination, jaccard, packing, queries, secrets, toxicity
 from objloom.llm.common import shared_dir, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +33,11 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(docs.columns)
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.redacted(docs)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(docs.columns)
+    return secrets.redacted(docs, length_col="n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
