@@ -44,16 +44,32 @@ def object_id(otype: str, body: bytes, fmt: str) -> bytes:
 _HEADER = re.compile(rb"([^ \0]+) ([0-9]+)\0")
 
 
-def parse_framed(raw: bytes) -> tuple[str, bytes]:
-    """Type and body of ``type SP size NUL body``."""
+def number(digits: bytes, code: str, bits: int = 64) -> int:
+    """An unsigned decimal number below 2**bits, of any number of digits."""
+    short = digits.lstrip(b"0")
+    n = int(short or b"0") if len(short) <= 20 else 2**bits
+    if n >= 2**bits:
+        raise CodecError(code)
+    return n
+
+
+def parse_header(raw: bytes) -> tuple[str, int, int]:
+    """Type, declared size and where the body begins, of the first bytes of a framed object."""
     m = _HEADER.match(raw)
-    if not m or int(m[2]) >= 2**64:
+    if not m:
         raise CodecError("ErrInvalidHeader")
+    size = number(m[2], "ErrInvalidHeader")
     if m[1] not in TYPES:
         raise CodecError("ErrInvalidType")
-    if int(m[2]) != len(raw) - m.end():
+    return m[1].decode(), size, m.end()
+
+
+def parse_framed(raw: bytes) -> tuple[str, bytes]:
+    """Type and body of ``type SP size NUL body``."""
+    otype, size, at = parse_header(raw)
+    if size != len(raw) - at:
         raise CodecError("ErrSizeMismatch")
-    return m[1].decode(), raw[m.end() :]
+    return otype, raw[at:]
 
 
 def framed(otype: str, body: bytes) -> bytes:
@@ -69,7 +85,8 @@ def parse_identity(line: bytes) -> tuple[bytes, bytes, int, int]:
     m = _IDENTITY.match(line)
     if not m:
         raise CodecError("ErrInvalidSignature")
-    when, hh, mm = int(m[3]), int(m[5]), int(m[6])
+    when = number(m[3].lstrip(b"+-"), "ErrInvalidSignature") * (-1 if m[3][:1] == b"-" else 1)
+    hh, mm = int(m[5]), int(m[6])
     if not (-(2**63) <= when < 2**63 and 0 <= hh <= 23 and 0 <= mm <= 59):
         raise CodecError("ErrInvalidSignature")
     return m[1].rstrip(b" "), m[2], when, (hh * 60 + mm) * (-1 if m[4] == b"-" else 1)
@@ -320,7 +337,16 @@ def delta_instructions(delta: bytes) -> tuple[int, int, list[tuple[str, int, int
     return base, result, rows
 
 
-def apply_delta(base: bytes, delta: bytes) -> bytes:
+def delta_sizes(delta: bytes) -> tuple[int, int]:
+    """Base size and result size from a delta's first bytes; 20 are enough."""
+    base, at = little_base128(delta, 0)
+    return base, little_base128(delta, at)[0]
+
+
+def apply_delta(base: bytes, delta: bytes, max_size: int = 0) -> bytes:
+    """The result of a delta; ErrObjectTooLarge, before anything is copied, if it declares more than max_size bytes (no limit if that is 0)."""
+    if 0 < max_size < delta_sizes(delta)[1]:
+        raise CodecError("ErrObjectTooLarge")
     size, result, rows = delta_instructions(delta)
     if size != len(base) or any(op == "copy" and o + n > len(base) for op, o, n, _ in rows):
         raise CodecError("ErrMalformedDelta")
@@ -379,6 +405,33 @@ def inflate(data: bytes, at: int, size: int) -> tuple[bytes, int]:
     return out, len(data) - len(z.unused_data)
 
 
+def inflate_head(data: bytes, at: int, most: int) -> bytes:
+    """The first bytes of the zlib stream at ``at``, at most that many."""
+    try:
+        return zlib.decompressobj().decompress(data[at : at + 4096], most)
+    except zlib.error:
+        raise CodecError("ErrMalformedPack") from None
+
+
+def complete_pack(data: bytes, bases: list[tuple[str, bytes]], fmt: str) -> bytes:
+    """A thin pack with base objects appended as whole entries, its count and trailer written anew."""
+    n = SIZES[fmt]
+    count = struct.unpack_from(">I", data, 8)[0] + len(bases)
+    more = b"".join(build_entry_header(kind, len(body)) + zlib.compress(body) for kind, body in bases)
+    out = data[:8] + struct.pack(">I", count) + data[12:-n] + more
+    return out + sum_of(out, fmt)
+
+
+def pack_trailer(data: bytes, fmt: str) -> tuple[int, bytes]:
+    """The number of entries and the hash that a pack declares; the hash must be that of its content."""
+    n = SIZES[fmt]
+    if len(data) < 12 + n or data[:4] != b"PACK" or struct.unpack_from(">I", data, 4)[0] != 2:
+        raise CodecError("ErrMalformedPackHeader")
+    if sum_of(data[:-n], fmt) != data[-n:]:
+        raise CodecError("ErrMalformedPack", "trailer")
+    return struct.unpack_from(">I", data, 8)[0], data[-n:]
+
+
 def scan_pack(data: bytes, fmt: str, max_size: int = 0) -> list[dict]:
     """Rows of a pack's entries in pack order, with inflated payloads; the trailer must match and nothing may follow it."""
     n = SIZES[fmt]
@@ -521,44 +574,42 @@ def may_contain(table: bytes, buckets: int, probes: int, oid: bytes) -> bool:
 
 # -- references and alternates as text
 
-_PACKED = re.compile(r"([0-9a-fA-F]+) (\S.*)\Z")
+_PACKED = re.compile(rb"([0-9a-fA-F]+) (\S.*)\Z", re.S)
 
 
-def parse_packed_refs(data: bytes, fmt: str) -> list[tuple[str, bytes, str, bytes | None]]:
+def parse_packed_refs(data: bytes, fmt: str) -> list[tuple[bytes, bytes, str, bytes | None]]:
     """(name, id, peel state, peeled id) rows.  Traits stand on the first line only; a ``^`` line peels the entry above it."""
-    text = data.decode("utf-8", "surrogateescape")
-    if text and not text.endswith("\n"):
+    if data and not data.endswith(b"\n"):
         raise CodecError("ErrMalformedPackedRefs", "unterminated line")
     n, rows, traits = 2 * SIZES[fmt], [], set()
-    for i, line in enumerate(text.split("\n")[:-1]):
-        if line.startswith("#"):
-            if i == 0 and line.startswith("# pack-refs with:"):
-                traits = set(line.removeprefix("# pack-refs with:").split())
+    for i, line in enumerate(data.split(b"\n")[:-1]):
+        if line.startswith(b"#"):
+            if i == 0 and line.startswith(b"# pack-refs with:"):
+                traits = set(line.removeprefix(b"# pack-refs with:").split())
             continue
-        if line.startswith("^"):
-            if not rows or rows[-1][3] is not None or not re.fullmatch(rf"[0-9a-fA-F]{{{n}}}", line[1:]):
+        if line.startswith(b"^"):
+            if not rows or rows[-1][3] is not None or not re.fullmatch(rb"[0-9a-fA-F]{%d}" % n, line[1:]):
                 raise CodecError("ErrMalformedPackedRefs", "peel line")
-            rows[-1] = (*rows[-1][:2], "peeled", bytes.fromhex(line[1:]))
+            rows[-1] = (*rows[-1][:2], "peeled", bytes.fromhex(line[1:].decode()))
             continue
         m = _PACKED.match(line)
         if not m or len(m[1]) != n:
             raise CodecError("ErrMalformedPackedRefs", "entry")
-        known = "fully-peeled" in traits or "peeled" in traits and m[2].startswith("refs/tags/")
-        rows.append((m[2], bytes.fromhex(m[1]), "none" if known else "unknown", None))
+        known = b"fully-peeled" in traits or b"peeled" in traits and m[2].startswith(b"refs/tags/")
+        rows.append((m[2], bytes.fromhex(m[1].decode()), "none" if known else "unknown", None))
     if len({r[0] for r in rows}) != len(rows):
         raise CodecError("ErrMalformedPackedRefs", "duplicate")
     return rows
 
 
-def parse_loose_ref(data: bytes, fmt: str) -> tuple[str, bytes | str]:
+def parse_loose_ref(data: bytes, fmt: str) -> tuple[str, bytes]:
     """("symbolic", target) or ("direct", id)."""
-    text = data.decode("utf-8", "surrogateescape")
-    if text.startswith("ref:"):
-        return "symbolic", text[4:].strip(" \t\n\r\v\f")
-    m = re.match(rf"([0-9a-fA-F]{{{2 * SIZES[fmt]}}})(?:[ \t\n\r\v\f]|\Z)", text)
+    if data.startswith(b"ref:"):
+        return "symbolic", data[4:].strip(b" \t\n\r\v\f")
+    m = re.match(rb"([0-9a-fA-F]{%d})(?:[ \t\n\r\v\f]|\Z)" % (2 * SIZES[fmt]), data)
     if not m:
         raise CodecError("ErrInvalidValue")
-    return "direct", bytes.fromhex(m[1])
+    return "direct", bytes.fromhex(m[1].decode())
 
 
 _QUOTED = re.compile(r'"((?:[^"\\]|\\(?:[abfnrtv\\"]|[0-3][0-7]{2}))*)"')
@@ -566,7 +617,7 @@ _ESCAPE = re.compile(r"\\([0-3][0-7]{2}|.)", re.S)
 _PLAIN = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
 
 
-def parse_alternates(data: bytes, base: str) -> list[str]:
+def parse_alternates(data: bytes, base: str) -> list[bytes]:
     """Paths of an alternates file: comments are skipped, well-quoted lines unquoted, relative paths joined to base."""
     import posixpath
 
@@ -576,7 +627,7 @@ def parse_alternates(data: bytes, base: str) -> list[str]:
             continue
         m = _QUOTED.match(line)
         path = _ESCAPE.sub(lambda e: chr(int(e[1], 8)) if len(e[1]) == 3 else _PLAIN.get(e[1], e[1]), m[1]) if m else line
-        path = path.encode("latin-1").decode("utf-8", "surrogateescape")
-        if path:
-            paths.append(path if path.startswith("/") else posixpath.normpath(posixpath.join(base, path)))
+        raw = path.encode("latin-1")
+        if raw:
+            paths.append(raw if raw.startswith(b"/") else posixpath.normpath(posixpath.join(base.encode("utf-8", "surrogateescape"), raw)))
     return paths

@@ -125,8 +125,25 @@ def mode_row(octal: Column) -> Column:
     )
 
 
+def with_adler32(df, data: str, name: str = "adler32"):
+    """df with the Adler-32 of a binary column of any length, by an Arrow function; null stays null."""
+    import zlib
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            made = [None if x is None else zlib.adler32(x) for x in b.column(data).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.int64())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def adler32(data: Column) -> Column:
-    """Adler-32 by a fold over the bytes."""
+    """Adler-32 by a fold over the bytes, for short values (see with_adler32)."""
     bytes_ = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(data), F.lit(1))), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
     done = F.aggregate(
         bytes_, F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")),

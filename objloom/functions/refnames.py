@@ -7,6 +7,8 @@ are ASCII.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,15 @@ def branch(name: Column) -> Column:
     return F.when(ok, F.when(name.startswith("refs/"), name).otherwise(full))
 
 
+_FORBIDDEN = [re.compile(p.replace(r"\z", r"\Z"), re.S) for p, _ in RULES]
+
+
+def valid_tag_name(name: bytes) -> bool:
+    """Whether a tag object's name is a tag shorthand, for codecs."""
+    full = "refs/tags/" + name.decode("latin-1")
+    return name != b"HEAD" and not name.startswith(b"-") and "*" not in full and not any(p.search(full) for p in _FORBIDDEN)
+
+
 def tag(name: Column) -> Column:
     full = F.concat(F.lit("refs/tags/"), name)
     return F.when(~name.startswith("-") & (name != "HEAD") & is_valid(full), full)

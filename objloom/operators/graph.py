@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objloom.operators.lineage import cut
+from objloom.functions.objects import mode_row
+from objloom.operators.lineage import cut, union
 
 
 def resolve_chains(edges: DataFrame, node: str = "node", nxt: str = "next") -> DataFrame:
@@ -75,16 +76,70 @@ def resolve_paths(paths: DataFrame, entries: DataFrame, deepest: int) -> DataFra
     return state.select("qid", F.when(ok, F.col("mode")).alias("mode"), F.when(ok, F.col("cur")).alias("child"), "error", "at")
 
 
-def flatten(roots: DataFrame, entries: DataFrame) -> DataFrame:
-    """(root, path, mode, child) of everything below roots(root), level by level."""
+def find_entries(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """asked(…, tree, name) with the mode and child of the entry of that name; a directory comes before a file of the same name."""
+    best = entries.groupBy("tree", "name").agg(F.min_by(F.struct("mode", "child"), F.when(F.col("mode") == "40000", 0).otherwise(1)).alias("_e"))
+    return asked.join(best, ["tree", "name"], "left").select(*asked.columns, F.col("_e.mode").alias("mode"), F.col("_e.child").alias("child"))
+
+
+def inserted(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """new(tree, seq, mode, name, …) with the error of inserting its rows in order of seq into trees that have entries(tree, name).
+
+    ErrInvalidTree: an empty name, one with NUL or ``/``, or a name that the
+    tree has by then, as a file or as a directory; ErrInvalidMode.
+    """
+    bad = F.when((F.octet_length("name") == 0) | F.contains(F.col("name"), F.lit("/")) | F.contains(F.col("name"), F.lit("\0")) | F.col("name").isNull(), "ErrInvalidTree").otherwise(mode_row(F.col("mode"))["error"])
+    rows = new.withColumn("_bad", bad)
+    first = rows.where("_bad IS NULL").groupBy("tree", "name").agg(F.min("seq").alias("_first"))
+    there = entries.select("tree", "name").distinct().withColumn("_there", F.lit(True))
+    rows = rows.join(first, ["tree", "name"], "left").join(there, ["tree", "name"], "left")
+    again = F.when(F.col("_there") | (F.col("seq") > F.col("_first")), "ErrInvalidTree")
+    return rows.select(*new.columns, F.coalesce("_bad", again).alias("error"))
+
+
+def _fs_entries(paths: DataFrame, entries: DataFrame, deepest: int) -> DataFrame:
+    """resolve_paths of paths(qid, tree, path), where ``.`` is the root itself."""
+    valid = F.col("path").rlike(r"\A(?:\.|(?!\.{1,2}(?:/|\z))[^/]+(?:/(?!\.{1,2}(?:/|\z))[^/]+)*)\z")
+    inner = paths.where(valid & (F.col("path") != "."))
+    found = resolve_paths(inner.select("qid", "tree", F.split("path", "/").alias("parts")), entries, deepest).select("qid", "mode", "child", "error")
+    root = paths.where(F.col("path") == ".").select("qid", F.lit("40000").alias("mode"), F.col("tree").alias("child"), F.lit(None).cast("string").alias("error"))
+    wrong = paths.where(~valid | F.col("path").isNull()).select("qid", F.lit(None).cast("string").alias("mode"), F.lit(None).cast(entries.schema["child"].dataType).alias("child"), F.lit("ErrInvalidPath").alias("error"))
+    return found.unionByName(root).unionByName(wrong)
+
+
+def read_files(paths: DataFrame, entries: DataFrame, blobs: DataFrame, deepest: int) -> DataFrame:
+    """(qid, content, error) of paths(qid, tree, path): ErrIsDirectory, ErrGitlinkNotFile, ErrObjectNotFound, or what the path's resolution says."""
+    found = _fs_entries(paths, entries, deepest).join(blobs.select("child", "content"), "child", "left")
+    error = (
+        F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("mode") == "40000", "ErrIsDirectory").when(F.col("mode") == "160000", "ErrGitlinkNotFile")
+        .when(F.col("content").isNull(), "ErrObjectNotFound")
+    )
+    return found.select("qid", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
+
+
+def subtrees(paths: DataFrame, entries: DataFrame, deepest: int) -> DataFrame:
+    """(qid, tree, error) of paths(qid, tree, path): the tree that a file system rooted there has; ErrInvalidPath for what isn't a directory."""
+    found = _fs_entries(paths, entries, deepest)
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("mode") != "40000", "ErrInvalidPath")
+    return found.select("qid", F.when(error.isNull(), F.col("child")).alias("tree"), error.alias("error"))
+
+
+def flatten(roots: DataFrame, entries: DataFrame, deepest: int = 4096) -> DataFrame:
+    """(root, path, mode, child) of everything below roots(root), level by level.
+
+    A tree that holds itself can't exist among real ids, but a made-up table
+    may have one: beyond ``deepest`` levels ErrTreeTooDeep is raised.
+    """
     level = roots.select("root", F.col("root").alias("tree"), F.lit("").alias("prefix"))
-    out = None
+    parts = []
     while True:
         found = cut(level.join(entries, "tree").select("root", F.concat("prefix", "name").alias("path"), "mode", "child"))
-        out = found if out is None else out.unionAll(found)
+        parts.append(found)
         level = found.where("mode = '40000'").select("root", F.col("child").alias("tree"), F.concat("path", F.lit("/")).alias("prefix"))
         if level.isEmpty():
-            return out
+            return union(parts)
+        if len(parts) >= deepest:
+            raise ValueError("ErrTreeTooDeep")
 
 
 def alternates_closure(edges: DataFrame, start: str, most: int = 5) -> DataFrame:

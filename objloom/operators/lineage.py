@@ -1,15 +1,26 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and the folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; one in the warehouse, which is shared too, where that is unset."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/objloom-shared")
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in ``spark.checkpoint.dir``; a temp folder is set only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="objloom-"))
+    """An eager checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

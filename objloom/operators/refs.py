@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,27 @@ def visible(loose: DataFrame, packed: DataFrame, key: str = "name") -> DataFrame
     return both.select(key, *[F.when(F.col("a._l"), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in rest]).where(~F.col(key).endswith(".lock"))
 
 
+def all_names(head: DataFrame, common: DataFrame, worktree: DataFrame, packed: DataFrame, key: str = "name") -> DataFrame:
+    """Every visible name: HEAD where it is there, loose names of the common folder and of the worktree, and packed ones; lock files aren't names."""
+    out = head.select(key)
+    for part in (common.where(~F.col(key).endswith(".lock")), worktree.where(~F.col(key).endswith(".lock")), packed):
+        out = out.unionByName(part.select(key))
+    return out.distinct()
+
+
+def survivors(packed: DataFrame, deleted: DataFrame, key: str = "name") -> DataFrame:
+    """The packed references that a rewrite keeps."""
+    return packed.join(deleted.select(key).distinct(), key, "left_anti")
+
+
+def chained(stores: list[DataFrame]) -> DataFrame:
+    """(name, kind, target_id, target_name, backend) of the first store that has each name; symbolic hops go through the whole chain by resolve_symbolic."""
+    from objloom.operators.stores import chained as first
+
+    own = ["name", "kind", "target_id", "target_name"]
+    return first([s.select(own) for s in stores], ["name"]).withColumnRenamed("priority", "backend").select(*own, "backend")
+
+
 def resolve_symbolic(refs: DataFrame) -> DataFrame:
     """(name, terminal, target_id, error) of every reference: ErrSymbolicCycle, ErrReferenceNotFound or ErrInvalidValue."""
     links = refs.where("kind = 'symbolic'").select(F.col("name").alias("node"), F.col("target_name").alias("next"))
@@ -108,13 +131,32 @@ def commit(refs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
 # -- batches: one operation is refused in each round, so a store's batch is sequential
 
 
-def _prefix_of(a: str, b: str) -> bool:
-    return b.startswith(a + "/") or a.startswith(b + "/")
+def _above(name: str) -> list[str]:
+    """The proper path prefixes of a name."""
+    parts = name.split("/")
+    return ["/".join(parts[:i]) for i in range(1, len(parts))]
+
+
+class _Names:
+    """A multiset of names that tells in a few look-ups whether a name is a proper prefix of one or has one as its prefix."""
+
+    def __init__(self, names) -> None:
+        self.own, self.above = Counter(), Counter()
+        for n in names:
+            self.add(n)
+
+    def add(self, name: str, n: int = 1) -> None:
+        self.own[name] += n
+        for p in _above(name):
+            self.above[p] += n
+
+    def conflicts(self, name: str) -> bool:
+        return self.above[name] > 0 or any(self.own[p] > 0 for p in _above(name))
 
 
 class _Store:
     def __init__(self, refs: dict[str, tuple[str, str]]) -> None:
-        self.refs = refs
+        self.refs, self.names = refs, _Names(refs)
 
     def target(self, op) -> tuple[str | None, str | None]:
         """Target name, or an error."""
@@ -147,12 +189,16 @@ class _Store:
             if e or t in targets:
                 return op.name, e or "ErrDuplicateUpdate"
             targets[t] = op
-        written = [t for t, op in targets.items() if op.kind.startswith(("create", "update"))]
-        gone = {t for t, op in targets.items() if op.kind.startswith("delete")}
-        there = [n for n in self.refs if n not in gone]
-        for t in written:
-            if any(_prefix_of(t, n) for n in there) or any(_prefix_of(t, n) for n in written):
-                return t, "NameConflictError"
+        fresh = [t for t, op in targets.items() if op.kind.startswith(("create", "update"))]
+        gone = [t for t, op in targets.items() if op.kind.startswith("delete") and t in self.refs]
+        written = _Names(fresh)
+        for t in gone:
+            self.names.add(t, -1)
+        clash = next((t for t in fresh if self.names.conflicts(t) or written.conflicts(t)), None)
+        for t in gone:
+            self.names.add(t)
+        if clash is not None:
+            return clash, "NameConflictError"
         return next(((op.name, e) for t, op in targets.items() if (e := self.old_value(op, t))), None)
 
     def apply(self, ops: list) -> None:
@@ -162,6 +208,7 @@ class _Store:
                 self.refs.pop(t, None)
             elif op.kind.startswith(("create", "update")):
                 self.refs[t] = ("symbolic", op.new_target) if op.kind.endswith("-symbolic") else ("direct", op.new_id)
+        self.names = _Names(self.refs)
 
 
 #: Errors for which an operation is refused; others end the batch.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from objloom.functions import objects as O
+from objloom.operators import lineage
 
 
 def with_ids(contents: DataFrame, content: Column, otype: str = "blob", fmt: str = "sha1") -> DataFrame:
@@ -59,16 +62,23 @@ def exact(ids: DataFrame, objects: DataFrame, want: str, key: list[str]) -> Data
     return found.withColumn("error", F.when(F.col("status") == "missing", "ErrObjectNotFound").when(F.col("otype") != want, "ObjectTypeError"))
 
 
-def write(objects: DataFrame, path: str, fmt: str = "sha1") -> DataFrame:
-    """Content-addressed append to a Parquet store: known ids are left alone.  Gives the rows that were new."""
-    spark = objects.sparkSession
-    new = deduplicated(with_ids(objects, F.col("content"), fmt=fmt).select("object_format", "oid", "otype", "size", "content"))
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A store's table, None if there is none yet."""
     try:
-        known = spark.read.parquet(path).select("object_format", "oid")
-        new = new.join(known, ["object_format", "oid"], "left_anti")
+        return spark.read.parquet(path)
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
+        return None
+
+
+def write(objects: DataFrame, path: str, fmt: str = "sha1") -> DataFrame:
+    """Content-addressed append to a Parquet store: known ids are left alone.  Gives the store after it."""
+    spark = objects.sparkSession
+    new = deduplicated(with_ids(objects, F.col("content"), fmt=fmt).select("object_format", "oid", "otype", "size", "content"))
+    known = stored(spark, path)
+    if known is not None:
+        new = new.join(known.select("object_format", "oid"), ["object_format", "oid"], "left_anti")
     new.write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
@@ -83,22 +93,114 @@ def within_size(objects: DataFrame, most: int) -> DataFrame:
     return objects.withColumn("error", F.when(F.lit(most > 0) & (F.col("size") > most), "ErrObjectTooLarge"))
 
 
+# -- routing: an object side and a pack side
+
+def routed(rows: DataFrame) -> dict[str, DataFrame]:
+    """Writes of a dual store: rows(kind, …) of loose objects go to the object side, packs to the pack side."""
+    return {"object": rows.where("kind = 'object'").drop("kind"), "pack": rows.where("kind = 'pack'").drop("kind")}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Quarantine:
-    """Objects staged apart: readable at once with the store behind them, published by promote, dropped by discard."""
+    """Objects staged in a folder beside the store: readable at once with the store behind them, published by promote, dropped by discard.
+
+    A promote that is cut short and repeated adds what is still lacking, as
+    known ids are left alone; the staged rows go only after that.
+    """
 
     def __init__(self, store: DataFrame, path: str) -> None:
-        self.store, self.path, self.staged = store, path, None
+        self.store, self.path, self.staging = store, path, f"{path.rstrip('/')}-quarantine-{uuid.uuid4().hex}"
+        self.spark = store.sparkSession
 
     def add(self, objects: DataFrame) -> None:
-        self.staged = objects if self.staged is None else self.staged.unionByName(objects)
+        objects.select(self.store.columns).write.mode("append").parquet(self.staging)
+
+    @property
+    def staged(self) -> DataFrame | None:
+        return stored(self.spark, self.staging)
+
+    def view(self) -> DataFrame:
+        staged = self.staged
+        return self.store if staged is None else chained([staged.select(self.store.columns), self.store], ["object_format", "oid"]).select(self.store.columns)
+
+    def promote(self) -> None:
+        staged = self.staged
+        if staged is not None:
+            known = stored(self.spark, self.path)
+            new = deduplicated(staged)
+            new = new if known is None else new.join(known.select("object_format", "oid"), ["object_format", "oid"], "left_anti")
+            new.write.mode("append").parquet(self.path)
+        self.discard()
+
+    def discard(self) -> None:
+        _remove(self.spark, self.staging)
+
+
+class PackQuarantine:
+    """Packs ingested into a folder apart: readable with the packs behind them, published by promote, dropped by discard."""
+
+    def __init__(self, spark: SparkSession, path: str, fmt: str = "sha1") -> None:
+        self.spark, self.path, self.fmt = spark, path, fmt
+        self.staging = f"{path.rstrip('/')}-quarantine-{uuid.uuid4().hex}"
+
+    def ingest(self, files: DataFrame, external: DataFrame | None = None, max_size: int = 0) -> DataFrame:
+        from objloom.operators import packs
+
+        return packs.ingest(files, self.staging, self.fmt, max_size, external)
+
+    def view(self, name: str = "objects") -> DataFrame:
+        """A table of the staged packs and of those published that aren't staged."""
+        from objloom.operators import packs
+
+        parts = [packs.published(self.spark, p, name) for p in (self.staging, self.path) if packs.manifest(self.spark, p).limit(1).count()]
+        if not parts:
+            raise ValueError("no packs, staged or published")
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1].join(parts[0].select("pack").distinct(), "pack", "left_anti"))
+
+    def promote(self) -> None:
+        """The tables of the packs that the store lacks, and last the manifest, under the run that staged them."""
+        from objloom.operators import packs
+
+        made = packs.manifest(self.spark, self.staging)
+        if made.limit(1).count():
+            new = made.join(packs.manifest(self.spark, self.path).select("pack"), "pack", "left_anti")
+            for name in packs.TABLES:
+                self.spark.read.parquet(f"{self.staging}/{name}").join(new.select("pack", "run"), ["pack", "run"], "left_semi").write.mode("append").parquet(f"{self.path}/{name}")
+            # read before it is written to
+            rows = lineage.cut(new.select("pack", "objects", "object_format", "received", "run"))
+            rows.write.mode("append").parquet(f"{self.path}/manifest")
+        self.discard()
+
+    def discard(self) -> None:
+        _remove(self.spark, self.staging)
+
+
+class CoordinatedQuarantine:
+    """An object and a pack quarantine as one: both are promoted, or discarded, and what fails in one doesn't keep the other."""
+
+    def __init__(self, objects: Quarantine, packs: PackQuarantine) -> None:
+        self.objects, self.packs = objects, packs
 
     def view(self) -> DataFrame:
-        return self.store if self.staged is None else chained([self.staged.select(self.store.columns), self.store], ["object_format", "oid"]).select(self.store.columns)
+        own = ["oid", "otype", "content"]
+        return dual(self.objects.view().select(own), self.packs.view().select(own))
+
+    def _both(self, action: str) -> None:
+        errors = []
+        for part in (self.objects, self.packs):
+            try:
+                getattr(part, action)()
+            except Exception as e:  # joined below
+                errors.append(e)
+        if errors:
+            raise ExceptionGroup(action, errors)
 
     def promote(self) -> None:
-        if self.staged is not None:
-            deduplicated(self.staged).join(self.store.select("object_format", "oid"), ["object_format", "oid"], "left_anti").write.mode("append").parquet(self.path)
-        self.staged = None
+        self._both("promote")
 
     def discard(self) -> None:
-        self.staged = None
+        self._both("discard")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from objloom.functions import config as cfg
-from objloom.operators import graph, refs as R
+from objloom.operators import graph, stores
+from objloom.operators import refs as R
 
 #: Extensions that only version 1 may have, and those that any version may have.
 V1_ONLY = ("noop-v1", "objectformat", "compatobjectformat", "refstorage", "relativeworktrees", "submodulepathconfig")
@@ -61,3 +63,25 @@ def read_path(refs: DataFrame, wanted: DataFrame, types: DataFrame, tags: DataFr
     return found.select("qid", "mode", "child", "error").unionByName(start.where("early IS NOT NULL").select("qid", F.lit(None).cast("string").alias("mode"), F.lit(None).cast("string").alias("child"), F.col("early").alias("error")))
 
 
+def object_chain(loose: DataFrame, packed: DataFrame, alternates: DataFrame | None = None) -> DataFrame:
+    """The object that a repository reads for each id, with the store it comes from.
+
+    loose and packed are the repository's own objects(object_format, oid, …);
+    alternates(…, path, depth, side) those of the stores it borrows from, as
+    alternates_closure orders them.  Own loose objects come first, then own
+    packed ones, then each alternate's loose and packed ones, the nearest first.
+    """
+    own = loose.columns
+    rows = loose.withColumns({"store": F.lit("loose"), "_at": F.lit(0).cast("long")}).unionByName(packed.select(own).withColumns({"store": F.lit("packed"), "_at": F.lit(1).cast("long")}))
+    if alternates is not None:
+        order = alternates.select("path", "depth").distinct().withColumn("_k", F.row_number().over(W.orderBy("depth", "path")))  # a repository's few alternates
+        far = alternates.join(F.broadcast(order.select("path", "_k")), "path").withColumn("_at", (F.col("_k") * 2 + F.when(F.col("side") == "packed", 1).otherwise(0)).cast("long"))
+        rows = rows.unionByName(far.select(*own, F.concat_ws(":", "path", "side").alias("store"), "_at"))
+    return stores.first_hit(rows, ["object_format", "oid"], "_at").drop("_at")
+
+
+def string_value(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """asked(section, subsection, key) with value and error: ErrMissing for no entry, ErrValueless for one without a value."""
+    last = last_values(entries)
+    got = asked.join(last, ["section", "subsection", "key"], "left").withColumn("_s", cfg.string_struct(F.col("kind"), F.col("value")))
+    return got.select(*asked.columns, F.col("_s.value").alias("value"), F.col("_s.error").alias("error"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from objloom.functions import objects as O
-from objloom.operators import packs, refs, stores
-from objloom.operators.lineage import cut
+from objloom.operators import graph, packs, refs, stores
+from objloom.operators.lineage import cut, shared_dir
 from objloom.queries.base import BLOB_OID, blobs, query, table
 from objloom.queries.object_queries import _COMMITS, _TREE, commit_chain, lang_trees
 from objloom.queries.pack_queries import pack_files
@@ -44,7 +46,7 @@ def commit_parse(spark, sf_dir):
     keyed = c.select("conv_id", "turn", O.utf8(F.col("body")).alias("content")).withColumn("oid", O.oid("commit", F.col("content"))).withColumn("otype", F.lit("commit"))
     got = S.parsed_objects(keyed.select("oid", "otype", "content").distinct())["commits"].where("error IS NULL")
     return keyed.select("conv_id", "turn", "oid").join(got, "oid").select(
-        "conv_id", "turn", F.lower(F.hex("tree")).alias("tree"), F.size("parents").cast("long").alias("n_parents"), F.col("author_name").alias("author"), "author_when", "author_offset",
+        "conv_id", "turn", F.lower(F.hex("tree")).alias("tree"), F.size("parents").cast("long").alias("n_parents"), F.col("author_name").cast("string").alias("author"), "author_when", "author_offset",
         F.col("change_id").cast("string").alias("change_id"), F.col("message").cast("string").alias("message"),
     )
 
@@ -74,9 +76,10 @@ def tag_parse(spark, sf_dir):
 def tree_find(spark, sf_dir):
     """Entries by (tree, name); every third name isn't there."""
     n = table(spark, sf_dir, "nation")
-    entries = n.select(F.lit(0).alias("tree"), F.col("n_name").alias("seg"), F.col("n_nationkey").alias("child"))
-    q = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("qid"), F.lit(0).alias("tree"), F.col("n_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, F.concat("n_name", F.lit("?"))).otherwise(F.col("n_name")).alias("seg"))
-    return q.join(entries, ["tree", "seg"], "left").select("qid", "name", "child")
+    entries = n.select(F.lit(0).alias("tree"), F.col("n_name").alias("name"), F.lit("100644").alias("mode"), F.col("n_nationkey").alias("child"))
+    q = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    q = q.select(F.col("c_custkey").alias("qid"), F.lit(0).alias("tree"), F.col("n_name").alias("asked"), F.when(F.col("c_custkey") % 3 == 0, F.concat("n_name", F.lit("?"))).otherwise(F.col("n_name")).alias("name"))
+    return graph.find_entries(q, entries).select("qid", F.col("asked").alias("name"), "child")
 
 
 @query("""WITH e AS (SELECT 'n' || (c_custkey % 40) AS name, CASE c_custkey % 5 WHEN 0 THEN '040000' WHEN 1 THEN '40000' ELSE '100644' END AS mode, c_custkey AS seq FROM customer UNION ALL SELECT 'a/b', '100644', -1 UNION ALL SELECT '', '100644', -2),
@@ -89,9 +92,7 @@ def tree_insert(spark, sf_dir):
     k = F.col("c_custkey") % 5
     e = c.select(F.concat(F.lit("n"), (F.col("c_custkey") % 40).cast("string")).alias("name"), F.when(k == 0, "040000").when(k == 1, "40000").otherwise("100644").alias("mode"), F.col("c_custkey").cast("long").alias("seq"))
     e = e.unionAll(spark.createDataFrame([("a/b", "100644", -1), ("", "100644", -2)], "name string, mode string, seq long"))
-    bad = F.coalesce(O.mode_row(F.col("mode"))["error"], F.when((F.col("name") == "") | F.contains("name", F.lit("/")), "ErrInvalidTree"))
-    first = e.withColumn("bad", bad).where("bad IS NULL").groupBy("name").agg(F.min("seq").alias("first"))
-    return e.withColumn("bad", bad).join(first, "name", "left").select("seq", "name", F.coalesce("bad", F.when(F.col("seq") > F.col("first"), "ErrInvalidTree")).alias("error"))
+    return graph.inserted(spark.createDataFrame([], "tree int, name string"), e.withColumn("tree", F.lit(0))).select("seq", "name", "error")
 
 
 @query("""SELECT 'refs/' || CASE WHEN n_nationkey % 4 = 0 THEN 'tags/' ELSE 'heads/' END || n_nationkey AS name, sha1(n_name) AS target_id, CASE WHEN n_nationkey % 4 = 0 THEN 'peeled' ELSE 'none' END AS peel_state, CASE WHEN n_nationkey % 4 = 0 THEN sha1('p' || n_name) END AS peeled_id FROM nation""")
@@ -109,8 +110,8 @@ def packed_refs_parse(spark, sf_dir):
         for name, oid, state, peeled in C.parse_packed_refs(data, "sha1"):
             yield {"name": name, "target_id": oid, "peel_state": state, "peeled_id": peeled}
 
-    got = S._decoded(writers.packed_refs_text(rows), "path string, name string, target_id binary, peel_state string, peeled_id binary, error string", parse)
-    return got.select("name", F.lower(F.hex("target_id")).alias("target_id"), "peel_state", F.lower(F.hex("peeled_id")).alias("peeled_id"))
+    got = S._decoded(writers.packed_refs_text(rows), "path string, name binary, target_id binary, peel_state string, peeled_id binary, error string", parse)
+    return S.as_text(got, "name").select("name", F.lower(F.hex("target_id")).alias("target_id"), "peel_state", F.lower(F.hex("peeled_id")).alias("peeled_id"))
 
 
 @query("""SELECT 'r' || n_nationkey AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'symbolic' WHEN n_nationkey % 3 = 1 THEN 'direct' END AS kind, CASE WHEN n_nationkey % 3 = 0 THEN 'refs/heads/' || n_name WHEN n_nationkey % 3 = 1 THEN sha1(n_name) END AS target, CASE WHEN n_nationkey % 3 = 2 THEN 'ErrInvalidValue' END AS error FROM nation""")
@@ -124,7 +125,7 @@ def loose_ref_parse(spark, sf_dir):
         from objloom.functions import codecs as C
 
         kind, target = C.parse_loose_ref(data, "sha1")
-        yield {"kind": kind, "target": target if kind == "symbolic" else target.hex()}
+        yield {"kind": kind, "target": target.decode() if kind == "symbolic" else target.hex()}
 
     return S._decoded(files, "path string, kind string, target string, error string", parse).select(F.col("path").alias("name"), "kind", "target", "error")
 
@@ -136,7 +137,7 @@ def alternates_parse(spark, sf_dir):
     line = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("/abs/"), F.col("n_name"))).otherwise(F.concat(F.lit('"'), F.col("n_name"), F.lit('\\011x"')))
     text = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))).alias("r"))
     files = text.select(F.concat(F.lit("/repo"), F.col("n_regionkey").cast("string"), F.lit("/objects/info/alternates")).alias("path"), F.concat(F.lit("# c\n"), F.array_join(F.transform("r", lambda r: r["l"]), "\n")).cast("binary").alias("content"))
-    got = S.alternates(files).select(F.regexp_extract("path", "repo([0-9]+)", 1).cast("int").alias("file"), F.col("ord").alias("k"), "target")
+    got = S.as_text(S.alternates(files), "target").select(F.regexp_extract("path", "repo([0-9]+)", 1).cast("int").alias("file"), F.col("ord").alias("k"), "target")
     keys = text.select(F.col("n_regionkey").alias("file"), F.posexplode(F.transform("r", lambda r: r["n_nationkey"])).alias("k", "ord"))
     return got.join(keys, ["file", "k"]).select("file", "ord", "target")
 
@@ -144,10 +145,7 @@ def alternates_parse(spark, sf_dir):
 @query(f"SELECT count(DISTINCT {BLOB_OID.format('text')})::BIGINT AS n, 2 AS runs FROM documents WHERE text IS NOT NULL")
 def write_idempotent(spark, sf_dir):
     """Documents written twice to a content-addressed store."""
-    import uuid
-
-    cut(spark.range(1))
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(O.utf8(F.col("text")).alias("content"))
     for _ in range(2):
         out = stores.write(rows, path)
@@ -159,7 +157,7 @@ def quarantine_view(spark, sf_dir):
     """What a quarantine shows, and what is published without promoting it."""
     b = blobs(spark, sf_dir).groupBy("oid").agg(F.min("doc_id").alias("d")).select(F.lit("sha1").alias("object_format"), "oid", "d")
     store = b.where("d % 2 = 0")
-    q = stores.Quarantine(store, "unused")
+    q = stores.Quarantine(store, f"{shared_dir(spark)}/quarantined")
     q.add(b)
     both = q.view().select(F.lit(1).alias("v"), F.lit(0).alias("p")).unionAll(store.select(F.lit(0), F.lit(1)))
     return both.agg(F.sum("v").alias("visible"), F.sum("p").alias("published"))

@@ -154,7 +154,9 @@ def chain_first_hit(spark, sf_dir):
 SELECT oid, any_value(size) AS size, count(*)::BIGINT AS n FROM b GROUP BY oid""")
 def dedupe_objects(spark, sf_dir):
     c = lambda t, col: table(spark, sf_dir, t).select(O.oid_hex("blob", O.utf8(F.col(col))).alias("oid"), F.octet_length(col).cast("long").alias("size"))
-    return c("documents", "text").unionAll(c("pages", "html")).groupBy("oid").agg(F.first("size").alias("size"), F.count("*").alias("n"))
+    both = c("documents", "text").unionAll(c("pages", "html"))
+    counts = both.groupBy("oid").agg(F.count("*").alias("n"))
+    return stores.deduplicated(both.withColumn("object_format", F.lit("sha1"))).select("oid", "size").join(counts, "oid").select("oid", "size", "n")
 
 
 @query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
@@ -182,7 +184,14 @@ def dual_view(spark, sf_dir):
     return stores.dual(n.where("id % 2 = 0"), n.where("id % 3 = 0"))
 
 
-@query()
+# Bitwise, by the table that eight shifts of each byte make.
+_CRC = """WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS v),
+d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+b AS (SELECT doc_id, h, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS v FROM d)
+SELECT doc_id, CASE WHEN h IS NOT NULL THEN xor(list_reduce(list_concat([4294967295::BIGINT], b.v), lambda c, x: xor(c >> 8, t.v[(xor(c, x) & 255) + 1])), 4294967295) END AS crc32 FROM b, t"""
+
+
+@query(_CRC)
 def crc32_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(O.utf8(F.col("text"))).alias("crc32"))
 
@@ -197,9 +206,11 @@ def adler32_text(spark, sf_dir):
     return frame(spark, _ADLER, "s string").select("s", O.adler32(O.utf8(F.col("s"))).alias("adler32"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+b AS (SELECT doc_id, h, length(h) // 2 AS n, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS v FROM d)
+SELECT doc_id, CASE WHEN h IS NOT NULL THEN ((n + coalesce(list_sum(list_transform(v, lambda x, i: x * (n - i + 1))), 0)) % 65521)::BIGINT * 65536 + ((1 + coalesce(list_sum(v), 0)) % 65521)::BIGINT END AS adler32 FROM b""")
 def adler32_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", O.adler32(O.utf8(F.col("text"))).alias("adler32"))
+    return O.with_adler32(table(spark, sf_dir, "documents").select("doc_id", O.utf8(F.col("text")).alias("content")), "content").select("doc_id", "adler32")
 
 
 @query("""WITH b AS (SELECT doc_id, encode(text) AS base, octet_length(encode(text))::INT AS n FROM documents)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from objloom.functions import codecs as C
 from objloom.operators import packs
+from objloom.operators.lineage import shared_dir
 from objloom.queries.base import BLOB_OID, blobs, query, table
 from objloom.sources import files as S
 
@@ -123,7 +124,7 @@ def pack_explain(spark, sf_dir):
 @query("SELECT (count(DISTINCT doc_id // 50))::BIGINT AS packs, count(*)::BIGINT AS objects FROM documents WHERE text IS NOT NULL")
 def ingest_packs(spark, sf_dir):
     """Ingest packs twice; the second run finds them all in the manifest."""
-    out = tempfile.mkdtemp(prefix="objloom-") if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else spark.sparkContext._jsc.sc().getCheckpointDir().get() + "/ingest-" + spark.sparkContext.applicationId + str(id(object()))
+    out = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     made = pack_files(spark, sf_dir)
     packs.ingest(made, out)
     packs.ingest(made, out)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from objloom.functions import config as cfg
+from objloom.functions import objects as O
 from objloom.functions import refnames as N
 from objloom.operators import refs as R
+from objloom.operators.lineage import shared_dir
 from objloom.plans import repository
 from objloom.queries.base import frame, query, table, values
+from objloom.streaming import ingest
 
 _NAMES = [(n,) for n in (
     "refs/heads/main", "refs/heads/a/b", "@", "", "/refs/heads/x", "refs//heads", "refs/heads/", "refs/heads/a..b", "refs/heads/a@{b", "refs/heads/a b", "refs/heads/a~1",
@@ -123,12 +128,13 @@ def ref_txn_errors(spark, sf_dir):
     return R.prepared(refs, ops).select("seq", "error")
 
 
-@query()
+@query(f"""WITH r AS ({_REFS}), ops AS (SELECT c_custkey AS seq, 'refs/heads/u' || c_custkey AS name, CASE c_custkey % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE 'verify' END AS kind, CASE WHEN c_custkey % 5 = 0 THEN 'wrong' ELSE sha1(c_name) END AS old_id FROM customer)
+SELECT seq, ops.name, CASE WHEN e IS NULL THEN 'applied' ELSE 'rejected' END AS status, e AS error FROM (SELECT ops.*, CASE WHEN kind = 'create' THEN CASE WHEN id IS NOT NULL THEN 'ErrCreateExists' END WHEN id IS NULL THEN 'ErrReferenceNotFound' WHEN id <> old_id THEN 'WrongOldIDError' END AS e FROM ops LEFT JOIN r USING (name)) ops""")
 def ref_batch_status(spark, sf_dir):
     refs, ops = _txn(spark, sf_dir)
     store = F.pmod(F.hash("name"), F.lit(16)).cast("string")
     wrong = F.when(F.col("seq") % 5 == 0, "wrong").otherwise(F.col("old_id"))
-    return R.batch(refs.withColumn("store", store), ops.withColumn("store", store).withColumn("old_id", wrong))
+    return R.batch(refs.withColumn("store", store), ops.withColumn("store", store).withColumn("old_id", wrong)).drop("store")
 
 
 # Configuration entries from events: source by user, key by event type.
@@ -174,7 +180,7 @@ def config_parse(spark, sf_dir):
     lines = e.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda r: r["line"]), "").alias("t"))
     text = lines.select(F.col("file").cast("string").alias("path"), F.concat(F.lit('# top\n[Sec "Sub"]\n'), "t").cast("binary").alias("content"))
     got = configs(text).where("error IS NULL")
-    return got.groupBy(F.col("path").cast("long").alias("file")).agg(F.count("*").alias("n"), F.max(F.col("value").cast("long")).alias("last"))
+    return got.groupBy(F.col("path").cast("long").alias("file")).agg(F.count("*").alias("n"), F.max(F.col("value").cast("string").cast("long")).alias("last"))
 
 
 _EXT = [(0, "noop", ""), (0, "objectformat", "sha1"), (0, "whatever", ""), (1, "whatever", ""), (1, "objectformat", "sha256"), (1, "objectformat", "md5"), (1, "refstorage", "files"), (1, "refstorage", "reftable"), (2, "noop", ""), (1, "compatobjectformat", "sha1"), (1, "worktreeconfig", "true"), (0, "refstorage", "files")]
@@ -186,19 +192,11 @@ def repository_format(spark, sf_dir):
     return frame(spark, _EXT, "version int, name string, value string").withColumn("error", repository.extension_error(F.col("version"), F.col("name"), F.col("value")))
 
 
-@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS size, sha1(encode('blob ' || octet_length(encode(text))) || '\\x00'::BLOB || encode(text)) AS oid FROM documents")
+@query("SELECT DISTINCT octet_length(encode(text))::BIGINT AS size, sha1(encode('blob ' || octet_length(encode(text))) || '\\x00'::BLOB || encode(text)) AS oid FROM documents WHERE text IS NOT NULL")
 def ingest_stream(spark, sf_dir):
-    """A file stream of documents, read to its end and written to a content-addressed table."""
-    import uuid
-
-    from objloom.functions import objects as O
-    from objloom.operators.lineage import cut
-
-    cut(spark.range(1))  # makes sure that there is a shared folder
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    """A file stream of documents, read to its end and written to a content-addressed store, by the library's stream."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/[d]ocuments.parquet")  # a pattern, as the table may be a file or a folder
-    c = O.utf8(F.col("text"))
-    out = stream.select("doc_id", F.octet_length(c).cast("long").alias("size"), O.oid_hex("blob", c).alias("oid"))
-    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    ingest.objects_from(stream.where("text IS NOT NULL").select(O.utf8(F.col("text")).alias("content")), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("size", F.lower(F.hex("oid")).alias("oid"))

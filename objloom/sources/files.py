@@ -1,9 +1,14 @@
-"""Readers of stores on disk.  Each is a file source and an Arrow codec; a bad file gives a row with its error code."""
+"""Readers of stores on disk.  Each is a file source and an Arrow codec; a bad file gives a row with its error code.
+
+What a file says may be any bytes: names, targets, identities and values are
+BINARY columns, and ``as_text`` casts those that are UTF-8.
+"""
 
 from __future__ import annotations
 
 import re
 import zlib
+from struct import error as struct_error
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from objloom.functions import codecs as C
 from objloom.functions import config as cfg
+from objloom.functions import refnames as N
 from objloom.functions.schema import struct
 
 
@@ -29,12 +35,19 @@ def _decoded(files: DataFrame, schema: str, rows) -> DataFrame:
                     got = list(rows(path, data))
                 except C.CodecError as e:
                     got = [{"error": e.code}]
+                except (ValueError, OverflowError, struct_error):  # whatever else bytes can do to a codec
+                    got = [{"error": "ErrMalformed"}]
                 out += [{name: r.get(name) for name in arrow.names} | {"path": path} for r in got]
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return files.select("path", "content").mapInArrow(run, fields)
 
 
+def as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """df with binary columns as text; what isn't UTF-8 is null."""
+    return df.withColumns({c: F.when(F.is_valid_utf8(F.col(c).cast("string")), F.col(c).cast("string")) for c in columns})
+
+
 def binary(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
 
@@ -45,17 +58,15 @@ def loose_objects(spark: SparkSession, folder: str, fmt: str = "sha1", content:
     def rows(path, data):
         oid = bytes.fromhex("".join(path.rsplit("/", 2)[1:]))
         try:
-            raw = zlib.decompress(data) if content else zlib.decompressobj().decompress(data, 64)
+            raw = zlib.decompress(data) if content else zlib.decompressobj().decompress(data[:4096], 64)
         except zlib.error:
             raise C.CodecError("ErrInvalidObject") from None
         if content:
             otype, body = C.parse_framed(raw)
             yield {"oid": oid, "otype": otype, "size": len(body), "content": body}
         else:
-            m = C._HEADER.match(raw)
-            if not m or m[1] not in C.TYPES:
-                raise C.CodecError("ErrInvalidHeader")
-            yield {"oid": oid, "otype": m[1].decode(), "size": int(m[2])}
+            otype, size, _ = C.parse_header(raw)
+            yield {"oid": oid, "otype": otype, "size": size}
 
     files = binary(spark, folder, "*").where(F.col("path").rlike(rf"/[0-9a-f]{{2}}/[0-9a-f]{{{2 * C.SIZES[fmt] - 2}}}$"))
     return _decoded(files, "path string, oid binary, otype string, size long, content binary, error string", rows)
@@ -108,7 +119,7 @@ def loose_refs(spark: SparkSession, folder: str, fmt: str = "sha1") -> DataFrame
     # below refs/, or a capital-letter name at the top: logs and objects aren't read
     below = F.regexp_extract("path", "[^/:]*//*" + re.escape(root).replace("\\/", "/").lstrip("/") + "(.*)$", 1)
     files = binary(spark, folder, "*").where(below.rlike("^(?:refs/.+|[A-Z_]+)$") & ~F.col("path").endswith(".lock"))
-    return _decoded(files, "path string, name string, kind string, target_id binary, target_name string, error string", rows)
+    return _decoded(files, "path string, name string, kind string, target_id binary, target_name binary, error string", rows)
 
 
 def packed_refs(spark: SparkSession, folder: str, fmt: str = "sha1") -> DataFrame:
@@ -116,7 +127,7 @@ def packed_refs(spark: SparkSession, folder: str, fmt: str = "sha1") -> DataFram
         for name, oid, state, peeled in C.parse_packed_refs(data, fmt):
             yield {"name": name, "kind": "direct", "target_id": oid, "peel_state": state, "peeled_id": peeled}
 
-    return _decoded(binary(spark, folder, "packed-refs"), "path string, name string, kind string, target_id binary, target_name string, peel_state string, peeled_id binary, error string", rows)
+    return _decoded(binary(spark, folder, "packed-refs"), "path string, name binary, kind string, target_id binary, target_name binary, peel_state string, peeled_id binary, error string", rows)
 
 
 def configs(files: DataFrame) -> DataFrame:
@@ -129,7 +140,7 @@ def configs(files: DataFrame) -> DataFrame:
         except cfg.ConfigError as e:
             raise C.CodecError(f"ParseError:{e.line}") from None
 
-    return _decoded(files, "path string, ord long, section string, subsection string, key string, kind string, value string, error string", rows)
+    return _decoded(files, "path string, ord long, section string, subsection binary, key string, kind string, value binary, error string", rows)
 
 
 def alternates(files: DataFrame) -> DataFrame:
@@ -140,34 +151,33 @@ def alternates(files: DataFrame) -> DataFrame:
         for i, p in enumerate(C.parse_alternates(data, base)):
             yield {"ord": i, "target": p}
 
-    return _decoded(files, "path string, ord long, target string, error string", rows)
+    return _decoded(files, "path string, ord long, target binary, error string", rows)
 
 
 def parsed_objects(objects: DataFrame, fmt: str = "sha1") -> dict[str, DataFrame]:
     """Typed tables of objects(oid, otype, content): tree_entries, commits, commit_parents, tags, each with an error column."""
     as_path = lambda kind: objects.where(F.col("otype") == kind).select(F.hex("oid").alias("path"), "content")
-    text = lambda b: b.decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode()
 
     def tree_rows(path, data):
         for i, (mode, name, child) in enumerate(C.parse_tree(data, fmt)):
             yield {"pos": i, "mode": mode.decode(), "name": name, "child": child, "child_type": C.MODES[mode]}
 
     def who(prefix, identity):
-        return dict(zip((f"{prefix}_name", f"{prefix}_email", f"{prefix}_when", f"{prefix}_offset"), (text(identity[0]), text(identity[1]), *identity[2:]), strict=True))
+        return dict(zip((f"{prefix}_name", f"{prefix}_email", f"{prefix}_when", f"{prefix}_offset"), identity, strict=True))
 
     def commit_rows(path, data):
         c = C.parse_commit(data, fmt)
         yield {"tree": c["tree"], "parents": c["parents"], **who("author", c["author"]), **who("committer", c["committer"]), "change_id": c["change_id"], "extra": [{"key": k, "value": v} for k, v in c["extra"]], "message": c["message"]}
 
     def tag_rows(path, data):
-        t = C.parse_tag(data, fmt)
-        yield {"target": t["target"], "target_type": t["target_type"], "name": t["name"], **who("tagger", t["tagger"]), "message": t["message"]}
+        t = C.parse_tag(data, fmt, N.valid_tag_name)
+        yield {"target": t["target"], "target_type": t["target_type"], "name": t["name"], **who("tagger", t["tagger"]), "extra": [{"key": k, "value": v} for k, v in t["extra"]], "message": t["message"]}
 
-    person = lambda p: f"{p}_name string, {p}_email string, {p}_when long, {p}_offset int"
+    person = lambda p: f"{p}_name binary, {p}_email binary, {p}_when long, {p}_offset int"
     made = {
         "tree_entries": _decoded(as_path("tree"), "path string, pos long, mode string, name binary, child binary, child_type string, error string", tree_rows),
         "commits": _decoded(as_path("commit"), f"path string, tree binary, parents binaries, {person('author')}, {person('committer')}, change_id binary, extra headers, message binary, error string", commit_rows),
-        "tags": _decoded(as_path("tag"), f"path string, target binary, target_type string, name binary, {person('tagger')}, message binary, error string", tag_rows),
+        "tags": _decoded(as_path("tag"), f"path string, target binary, target_type string, name binary, {person('tagger')}, extra headers, message binary, error string", tag_rows),
     }
     made = {k: df.withColumn("oid", F.unhex("path")).drop("path") for k, df in made.items()}
     made["commit_parents"] = made["commits"].select("oid", F.posexplode("parents").alias("parent_pos", "parent_oid"))

@@ -1,23 +1,63 @@
-"""Streams: packs dropped into a folder, and object writes from a table's files.
+"""Streams: packs dropped into a folder, object writes from a table's files, and the log of reference updates.
 
-A micro-batch is an ordinary ingest, which is idempotent by pack hash, so a
-repeated batch after a failure changes nothing.
+A micro-batch of packs or objects is an ordinary ingest, which is idempotent by
+hash, so a repeated batch after a failure changes nothing.  The log of updates
+keeps each store's references as state.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from objloom.operators import packs, stores
+from objloom.operators.refs import run_batch
 
 
 def packs_from(spark: SparkSession, folder: str, out: str, checkpoint: str, fmt: str = "sha1") -> StreamingQuery:
     """Ingest every pack that is there; run again for those that have come since."""
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.pack").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return files.writeStream.foreachBatch(lambda df, _: packs.ingest(df.select("path", "content"), out, fmt).collect()).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def batch(df: DataFrame, _: int) -> None:
+        packs.ingest(df.select("path", "content"), out, fmt)  # publishes; the report isn't wanted
+
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def objects_from(source: DataFrame, out: str, checkpoint: str, fmt: str = "sha1") -> StreamingQuery:
     """Append a stream's ``content`` column to a content-addressed Parquet store."""
-    return source.writeStream.foreachBatch(lambda df, _: stores.write(df, out, fmt)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def batch(df: DataFrame, _: int) -> None:
+        stores.write(df, out, fmt)
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _Update:
+    def __init__(self, row) -> None:
+        self.name, self.kind, self.seq = row.ref_name, row.kind, row.seq
+        self.new_id, self.old_id, self.new_target, self.old_target = row.new_id, row.old_id, row.new_target, row.old_target
+
+
+def ref_log(updates: DataFrame) -> DataFrame:
+    """(store, seq, name, status, error) of a stream of updates(store, seq, kind, name, new_id, old_id, new_target, old_target).
+
+    Each update is an operation of its own, applied to its store's references
+    in order of seq within a micro-batch.  A store's references are the state
+    of its key, so a restarted stream goes on from its checkpoint.
+    """
+
+    def run(key, frames, state):
+        refs = {k: tuple(v) for k, v in json.loads(state.get[0]).items()} if state.exists else {}
+        rows = pd.concat(list(frames)).astype(object).where(lambda x: x.notna(), None).sort_values("seq").rename(columns={"name": "ref_name"})
+        out = []
+        for row in rows.itertuples():
+            (status, error), refs = (lambda got, after: (got[0], after))(*run_batch(refs, [_Update(row)]))
+            out.append((key[0], row.seq, row.ref_name, status, error))
+        state.update((json.dumps(refs),))
+        yield pd.DataFrame(out, columns=["store", "seq", "name", "status", "error"])
+
+    return updates.groupBy("store").applyInPandasWithState(run, "store string, seq long, name string, status string, error string", "refs string", "append", "NoTimeout")

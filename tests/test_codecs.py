@@ -154,18 +154,18 @@ def test_signed_payloads():
 def test_references_as_text():
     a, b = "1" * 40, "2" * 40
     text = f"# pack-refs with: peeled fully-peeled sorted \n{a} refs/heads/x\n{b} refs/tags/v\n^{a}\n"
-    assert C.parse_packed_refs(text.encode(), "sha1") == [("refs/heads/x", bytes.fromhex(a), "none", None), ("refs/tags/v", bytes.fromhex(b), "peeled", bytes.fromhex(a))]
+    assert C.parse_packed_refs(text.encode(), "sha1") == [(b"refs/heads/x", bytes.fromhex(a), "none", None), (b"refs/tags/v", bytes.fromhex(b), "peeled", bytes.fromhex(a))]
     assert [r[2] for r in C.parse_packed_refs(f"# pack-refs with: peeled\n{a} refs/heads/x\n{a} refs/tags/v\n".encode(), "sha1")] == ["unknown", "none"]
     for bad in (f"{a} refs/x", f"^{a}\n", f"{a} refs/x\n^{a}\n^{a}\n", f"{a} refs/x\n{b} refs/x\n", f"{a[:-1]} refs/x\n", f"{a}\n"):
         assert code(C.parse_packed_refs, bad.encode(), "sha1") == "ErrMalformedPackedRefs"
-    assert C.parse_loose_ref(b"ref: refs/heads/x \n", "sha1") == ("symbolic", "refs/heads/x")
+    assert C.parse_loose_ref(b"ref: refs/heads/x \n", "sha1") == ("symbolic", b"refs/heads/x")
     assert C.parse_loose_ref(a.encode() + b" rest", "sha1") == ("direct", bytes.fromhex(a)) == C.parse_loose_ref(a.encode(), "sha1")
     assert {code(C.parse_loose_ref, x, "sha1") for x in (b"", a[:-1].encode(), a.encode() + b"f")} == {"ErrInvalidValue"}
 
 
 def test_alternates():
     text = b'# c\n/abs\nrel/x\n"/q\\tz\\303\\251"\n"broken\\q"\n\n../up\n'
-    assert C.parse_alternates(text, "/r/objects") == ["/abs", "/r/objects/rel/x", "/q\tzé", '/r/objects/"broken\\q"', "/r/up"]
+    assert C.parse_alternates(text, "/r/objects") == [x.encode() for x in ("/abs", "/r/objects/rel/x", "/q\tzé", '/r/objects/"broken\\q"', "/r/up")]
 
 
 @pytest.mark.skipif(not shutil.which("git"), reason="no git binary")
