@@ -98,8 +98,11 @@ def appended(docs: DataFrame, fields: list[T.StructField], make: Callable[[str],
     """
     docs[f"`{reads}`"]  # fails here, not in a task
     docs, names = set_aside(docs, [f.name for f in fields])
-    schema = T.StructType([*docs.schema.fields, *fields])
-    text = names[reads]
+    # mapInArrow resolves names itself, so dots must not be in them
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    made = [T.StructField(f"f{i}", f.dataType) for i, f in enumerate(fields)]
+    schema = T.StructType([*plain.schema.fields, *made])
+    text, out = f"c{docs.columns.index(names[reads])}", [*docs.columns, *(f.name for f in fields)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -110,9 +113,9 @@ def appended(docs: DataFrame, fields: list[T.StructField], make: Callable[[str],
             if b.num_rows:
                 got = work(b)
                 new = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(got, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(f.name for f in fields)])
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*out)
 
 
 def held_out(column: str, parts: int, part: int):

@@ -165,7 +165,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     for blocks, last in passes(pattern_blocks(benchmark, id_col=item_id, text_col=item_text, limit=block_bytes), pass_bytes):
         held = sc.broadcast([b[1:] for b in blocks])
         # the loop's values, as the function runs later
-        docs = appended(docs.select(*[column(c).alias(f"{c}_before" if c in dict(_PARTIAL) else c) for c in docs.columns]), [T.StructField(*f) for f in (FIELDS if last else _PARTIAL)], _pass(held, first, last, min_items), names[text_col])
+        made = _pass(held, [docs.columns.index(n) for n, _ in _PARTIAL] if not first else None, last, min_items)
+        docs = appended(docs.select(*[column(c).alias(f"{c}_before" if c in dict(_PARTIAL) else c) for c in docs.columns]), [T.StructField(*f) for f in (FIELDS if last else _PARTIAL)], made, names[text_col])
         if not last:
             docs = written(docs.select(*[column(c) for c in own], *(n for n, _ in _PARTIAL)), "contamination")
             held.unpersist()
@@ -173,13 +174,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     return docs.select(*[column(c) for c in own], *(n for n, _ in FIELDS))
 
 
-def _pass(held, first: bool, last: bool, min_items: int):
+def _pass(held, before_at: list[int] | None, last: bool, min_items: int):
+    """The function of a pass; before_at are the columns of what the passes before found, None in the first.""" 
+
     def make(text_col):
         searchers = [(Searcher(patterns), names) for patterns, names in held.value]
 
         def work(batch: pa.RecordBatch) -> list:
             out: list[list] = [[] for _ in range(6 if last else 3)]
-            before = zip(*(batch.column(f"{n}_before").to_pylist() for n, _ in _PARTIAL), strict=True) if not first else [((), (), False)] * batch.num_rows
+            before = zip(*(batch.column(i).to_pylist() for i in before_at), strict=True) if before_at is not None else [((), (), False)] * batch.num_rows
             for text, (had, names_had, nameless) in zip(utf8(batch.column(text_col)), before, strict=True):
                 words = canonical_words(text)
                 canonical = b" %b " % b" ".join(words) if words else b""

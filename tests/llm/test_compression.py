@@ -97,3 +97,89 @@ def test_toxicity_finds_phrases_of_ordinary_words():
     got = [of(t) >= toxicity.THRESHOLD for t in texts[800:]]
     assert sum(g for g, c in zip(got, y[800:], strict=True) if c) > 90
     assert sum(g for g, c in zip(got, y[800:], strict=True) if not c) < 15
+
+
+def plain_windows(data, size):
+    """Windows by walking byte by byte: each ends before the first space at or after its size, at most four sizes on."""
+    out, a = [], 0
+    while a < len(data):
+        b = a + size
+        while b <= a + 4 * size and b < len(data) and data[b] != 0x20:
+            b += 1
+        b = min(b, a + 4 * size, len(data))
+        out.append(data[a:b])
+        a = b
+    return out
+
+
+def test_toxicity_scores_are_those_of_plain_compression(spark):
+    """Every score anew: each window compressed by two fresh compressors, features and logistic by hand."""
+    import math
+
+    import zstandard as z
+
+    texts, y = made(500, 3)
+    texts += ["", None, "x" * 3000, "ÀÉ grobble wexford " * 90, " lead", "trail "]
+    model = toxicity.train(texts[:400], y[:400])
+    params = z.ZstdCompressionParameters(compression_level=3, window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=4, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def length(content, w):
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress(w))
+
+    def plain(t):
+        if not t:
+            f = [0.0] * 6
+        else:
+            s = [length(model["base"], w) - length(model["toxic"] + model["base"], w) for w in plain_windows((" " + t.lower() + " ").encode(), toxicity.WINDOW)]
+            at = lambda k: sum(x >= k for x in s)
+            f = [math.log1p(at(3)), math.log1p(at(4)), math.log1p(max(0, max(s) - 2)), 10 * at(2) / len(s), 10 * at(3) / len(s), math.log1p(sum(x for x in s if x >= 3))]
+        v = sum(a * b for a, b in zip(f, model["weights"], strict=False)) + model["weights"][-1]
+        return 1 / (1 + math.exp(-max(-35, min(35, v))))
+
+    docs = frame(spark, texts[390:])
+    got = by_id(toxicity.score(docs, spark.sparkContext.broadcast(model)))
+    for i, t in enumerate(texts[390:]):
+        assert got[i].score == pytest.approx(plain(t), abs=1e-9), t
+    assert b"grobble" in model["toxic"]
+
+
+def test_quality_scores_are_those_of_plain_compression(spark):
+    import math
+
+    import zstandard as z
+
+    r = random.Random(4)
+    good = [" ".join(r.choice(["the", "river", "was", "calm", "and", "we", "walked", "home"]) for _ in range(60)) for _ in range(150)]
+    bad = ["".join(r.choice("!!$$ CLICK buy NOW 99 ") for _ in range(200)) for _ in range(150)]
+    texts, y = good + bad, [1] * 150 + [0] * 150
+    model = quality.train(texts, y)
+    probe = ["", None, good[3], bad[3], good[5] + bad[7], "word " * 4000, "é" * 5000]
+
+    def size(content, data):
+        return sum(len(z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data[a : a + 4096])) for a in range(0, len(data), 4096))
+
+    def plain(t):
+        data = (t or "").encode()
+        g, b = size(model["good"], data), size(model["bad"], data)
+        d = (b - g) / max(g, b, 1)
+        v = 10 * d * model["weights"][0] + 20 * d * abs(d) * model["weights"][1] + model["weights"][2]
+        return 1 / (1 + math.exp(-max(-35, min(35, v))))
+
+    got = by_id(quality.score(frame(spark, probe), spark.sparkContext.broadcast(model)))
+    for i, t in enumerate(probe):
+        assert got[i].score == pytest.approx(plain(t), abs=1e-6), t
+    assert got[2].score > 0.9 > 0.1 > got[3].score
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = frame(spark, ["x" * 1000] * 50 + ["y" * 70_000] * 50 + ["z" * 100] * 100)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    texts, y = labelled_sample(docs, labels, "toxic", 1000, class_bytes=5000)
+    assert all(sum(len(t) for t, c in zip(texts, y, strict=True) if c == k) <= 5000 for k in (0, 1)) and max(map(len, texts)) <= 1000 and len(texts) > 10
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = frame(spark, ["some text", None]).selectExpr("*", "7 AS score", "'p' AS Predicted", "'q' AS `a.b`", "1 AS input_score")
+    made_ = toxicity.score(docs, spark.sparkContext.broadcast(None))
+    row = made_.collect()[0]
+    assert row["input_input_score"] == 7 and row["input_Predicted"] == "p" and row["a.b"] == "q" and row["input_score"] == 1 and row["score"] == 0.0

@@ -48,6 +48,7 @@ def test_against_brute_force(spark):
         want = [brute(t, items) for t in texts]
         assert run(spark, texts, items) == want
         assert run(spark, texts, items, block_bytes=150) == want  # several blocks
+        assert run(spark, texts, items, block_bytes=150, pass_bytes=400) == want  # and passes
         assert any(x[2] > 1 for x in want)
 
 
@@ -63,3 +64,18 @@ def test_wu_manber_finds_every_occurrence(patterns, text):
 def test_empty_tables(spark):
     assert run(spark, ["a b"], []) == [brute("a b", [])]
     assert D.contamination(frame(spark, ["a"]).where("false"), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+
+
+def test_items_without_an_id_are_one_without_a_name(spark):
+    items = [(None, "alpha beta gamma"), (None, "delta epsilon"), (7, "zeta eta")]
+    got = run(spark, ["alpha beta gamma delta epsilon", "zeta eta alpha beta gamma", "none"], items)
+    assert [(w, h, n, c) for w, h, n, _, c in got] == [(5, 5, 1, False), (5, 5, 2, True), (1, 0, 0, False)]
+    assert got[1][3] == hashlib.sha256(b"7").hexdigest() and got[0][3] == hashlib.sha256(b"").hexdigest()
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    docs = frame(spark, ["alpha beta gamma here", "nothing"]).selectExpr("*", "1 AS _spans", "2 AS hit_items", "3 AS `x.y`")
+    got = D.clean(docs, spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"))
+    assert got.columns == docs.columns and [tuple(r)[-3:] for r in got.collect()] == [(1, 2, 3)]
+    rows = D.contamination(docs, spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"), pass_bytes=1, block_bytes=1).collect()
+    assert [(r["input__spans"], r["input_hit_items"], r["x.y"]) for r in rows] == [(1, 2, 3)] * 2

@@ -98,3 +98,34 @@ def test_plan_size_does_not_follow_the_corpus():
 def test_a_piece_beyond_a_capacity_is_refused():
     with pytest.raises(ValueError):
         packing.plan({64: 1}, capacity=64, max_cost=4000)
+
+
+def brute_vector_fit(counts, caps, rule, weights):
+    """Vector best-fit one piece at a time: every open bin that fits, by weighted dot-product or residual norm."""
+    bins = []
+    for n in sorted(counts, reverse=True):
+        item = (n, 1, n * n)
+        for _ in range(counts[n]):
+            fit = [b for b in bins if all(x >= y for x, y in zip(b, item, strict=True))]
+            share = lambda b: [(x / c, y / c) for x, y, c in zip(b, item, caps, strict=True)]
+            if rule == "norm":
+                key = lambda b: sum(w * (x - y) ** 2 for w, (x, y) in zip(weights, share(b), strict=True))
+            else:
+                key = lambda b: -sum(w * x * y for w, (x, y) in zip(weights, share(b), strict=True))
+            b = min(fit, key=key) if fit else None
+            if b is None:
+                bins.append(b := list(caps))
+            for i in range(3):
+                b[i] -= item[i]
+    return len(bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("weights", [packing.WEIGHTS, (1.0, 1.0, 1.0)])
+@pytest.mark.parametrize(("docs", "cost"), [(64, 4096), (4, 4096), (64, 1500), (3, 2000)])
+def test_rules_against_one_piece_at_a_time(rule, weights, docs, cost):
+    r = random.Random(3)
+    for _ in range(8):
+        counts = {n: r.randrange(1, 12) for n in r.sample(range(1, 38), 14)}
+        bins = place(counts, packing.plan(counts, capacity=64, max_docs=docs, max_cost=cost, rule=rule, weights=weights).tolist())
+        assert len(bins) <= brute_vector_fit(counts, (64, docs, cost), rule, weights) * 1.1 + 2
