@@ -16,7 +16,7 @@ from objloom.functions import codecs as C
 from objloom.functions.objects import FORMATS, oid
 from objloom.functions.schema import struct
 from objloom.operators.graph import resolve_chains
-from objloom.operators.lineage import cut, union
+from objloom.operators.lineage import Parts, cut
 
 # -- indexes
 
@@ -302,29 +302,36 @@ def resolve_all(entries: DataFrame, fmt: str = "sha1", external: DataFrame | Non
     by_id = entries.where("entry_type = 'ref'").select("pack", F.col("offset").alias("own"), F.col("base_oid").alias("oid"), F.col("payload").alias("delta"))
     front = cut(base.withColumn("oid", oid(F.col("otype"), F.col("content"), fmt)))
     own = ["pack", "offset", "otype", "content", "oid", "depth"]
-    levels, failed, depth = [front.select(own)], [], 0
-    keys = lambda: union([x.select("pack", "offset") for x in levels + failed])
+    levels, keys, failed, depth = Parts(), Parts(), Parts(), 0
+    levels.add(front.select(own))
+    failed.add(entries.limit(0).select("pack", "offset", F.lit("").alias("error")))
+    named = not by_id.isEmpty()  # only deltas by id can meet their base twice
+    if named:
+        keys.add(front.select("pack", "offset"))
     while True:
         depth += 1
         bases = front.select("pack", "offset", "oid", "otype", F.col("content").alias("base"))
         # a delta by offset has one base, so it comes once; one by id may meet equal bases at several levels
-        pairs = by_offset.join(bases.where("offset >= 0"), ["pack", "offset"]).select("pack", "own", "otype", "base", "delta").unionAll(
-            by_id.join(bases.dropDuplicates(["pack", "oid"]), ["pack", "oid"]).join(keys().withColumnRenamed("offset", "own"), ["pack", "own"], "left_anti").select("pack", "own", "otype", "base", "delta")
-        )
+        pairs = by_offset.join(bases.where("offset >= 0"), ["pack", "offset"]).select("pack", "own", "otype", "base", "delta")
+        if named:
+            left = by_id.join(bases.dropDuplicates(["pack", "oid"]), ["pack", "oid"]).join(keys.all().withColumnRenamed("offset", "own"), ["pack", "own"], "left_anti")
+            pairs = pairs.unionAll(left.select("pack", "own", "otype", "base", "delta"))
         made = applied(pairs, max_size).select("pack", F.col("own").alias("offset"), "otype", "content", F.lit(depth).alias("depth"), "error")
         made = cut(made.withColumn("oid", F.when(F.col("error").isNull(), oid(F.col("otype"), F.col("content"), fmt))))
-        new, bad = made.where("error IS NULL").select(own), made.where("error IS NOT NULL").select("pack", "offset", "error")
-        if depth <= C.MAX_DEPTH and not made.isEmpty():
-            levels.append(new)
-            failed.append(bad)
-            front = new
-        elif external is not None:  # what the packs themselves can't give
-            wanted = by_id.withColumnRenamed("own", "offset").join(keys(), ["pack", "offset"], "left_anti").select("pack", "oid").distinct()
+        n = made.agg(F.count("*").alias("all"), F.count("error").alias("bad")).first()
+        if depth <= C.MAX_DEPTH and n["all"]:
+            front = made.where("error IS NULL").select(own)
+            levels.add(front)
+            if n["bad"]:
+                failed.add(made.where("error IS NOT NULL").select("pack", "offset", "error"))
+            if named:
+                keys.add(made.select("pack", "offset"))
+        elif external is not None and named:  # what the packs themselves can't give
+            wanted = by_id.withColumnRenamed("own", "offset").join(keys.all(), ["pack", "offset"], "left_anti").select("pack", "oid").distinct()
             front = cut(wanted.join(external.select("oid", "otype", "content"), "oid").select("pack", F.lit(-1).cast("long").alias("offset"), "otype", "content", F.lit(0).alias("depth"), "oid"))
             external, depth = None, 0
         else:
-            none = entries.limit(0).select("pack", "offset", F.lit("").alias("error"))
-            return union(levels), union([none, *failed])
+            return levels.all(), failed.all()
 
 
 def missing_bases(entries: DataFrame, resolved: DataFrame) -> DataFrame:
