@@ -161,9 +161,9 @@ def alternates_closure(spark, sf_dir):
 
 
 # Parts are pack entries: entry k is a delta on k-1 (in its pack of 300) unless k is the first.
-@query("""SELECT p_partkey AS entry, (p_partkey // 300)::BIGINT AS pack, ((p_partkey // 300) * 300)::BIGINT AS root, (p_partkey % 300)::BIGINT AS depth FROM part WHERE p_partkey % 300 <> 0 AND p_partkey >= 300""")
+@query("""SELECT p_partkey AS entry, (p_partkey // 300)::BIGINT AS pack, ((p_partkey // 300) * 300)::BIGINT AS root, (p_partkey % 300)::BIGINT AS depth FROM part WHERE p_partkey % 300 <> 0""")
 def delta_chain_depth(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 300).alias("g")).where("p_partkey >= 300")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 300).alias("g"))
     entries = p.select(F.col("g").cast("string").alias("pack"), F.col("p_partkey").alias("offset"), F.when(F.col("p_partkey") % 300 != 0, F.col("p_partkey") - 1).alias("base_offset"))
     d = packs.chain_depths(entries)
     return d.select(F.split("node", ":")[1].cast("long").alias("entry"), F.split("node", ":")[0].cast("long").alias("pack"), F.split("root", ":")[1].cast("long").alias("root"), "depth")

@@ -214,17 +214,18 @@ def adler32_documents(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT doc_id, encode(text) AS base, octet_length(encode(text))::INT AS n FROM documents)
-SELECT doc_id, hex(array_slice(base, 1, least(10, n)) || encode('<' || doc_id || '>') || array_slice(base, greatest(n - 4, 1), n)) AS content FROM b WHERE n >= 20""")
+SELECT doc_id, hex(CASE WHEN n >= 20 THEN array_slice(base, 1, 10) || encode('<' || doc_id || '>') || array_slice(base, n - 4, n) ELSE encode('<' || doc_id || '>') END) AS content FROM b WHERE n IS NOT NULL""")
 def delta_apply_instr(spark, sf_dir):
     base = O.utf8(F.col("text"))
-    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") >= 20)
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     n = F.octet_length("text")
-    # instructions copy(0, 10), insert, copy(n-5, 5), as an Arrow codec applies them
+    # instructions copy(0, 10), insert, copy(n-5, 5), as an Arrow codec applies them; the insert alone on short bases
     lit = O.utf8(F.concat(F.lit("<"), F.col("doc_id"), F.lit(">")))
     byte = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0"))
     varint = lambda c: F.concat(byte(c % 128 + 128), byte(F.floor(c / 128) % 128 + 128), byte(F.floor(c / 16384) % 128 + 128), byte(F.floor(c / 2097152)))
     off = n - 5
     tail = F.concat(F.lit(b"\x9f"), *[byte(F.floor(off / 256**i) % 256) for i in range(4)], F.lit(b"\x05"))
-    delta = F.concat(varint(n), varint(F.lit(15) + F.octet_length(lit)), F.lit(b"\x90\x0a"), byte(F.octet_length(lit)), lit, tail)
+    insert = F.concat(byte(F.octet_length(lit)), lit)
+    delta = F.when(n >= 20, F.concat(varint(n), varint(F.lit(15) + F.octet_length(lit)), F.lit(b"\x90\x0a"), insert, tail)).otherwise(F.concat(varint(n), varint(F.octet_length(lit)), insert))
     got = packs.applied(docs.select("doc_id", base.alias("base"), delta.alias("delta")))
     return got.select("doc_id", F.hex("content").alias("content"))
