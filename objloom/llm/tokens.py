@@ -38,7 +38,7 @@ from objloom.llm.common import appended, sampled_texts
 
 TABLE_ROWS = 32_768
 SAMPLE_ROWS = 500
-CACHE_ROWS, CACHE_CHARS = 300_000, 64
+CACHE_ROWS, CACHE_CHARS = 400_000, 64
 
 _ODD = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
