@@ -31,11 +31,11 @@ def visible_names(spark, sf_dir):
     return R.all_names(head, c.where("c_custkey % 3 = 0").select(_name("refs/heads/u").alias("name")), worktree, c.where("c_custkey % 2 = 0").select(_name("refs/heads/u").alias("name")))
 
 
-@query("SELECT 'u' || c_custkey AS name, c_name AS target_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'u' || c_custkey AS name, c_name AS target_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 11 = 0)")
 def ref_survivors(spark, sf_dir):
     """Packed references that a rewrite keeps: those that no order deletes."""
     packed = table(spark, sf_dir, "customer").select(_name("u").alias("name"), F.col("c_name").alias("target_id"))
-    return R.survivors(packed, table(spark, sf_dir, "orders").select(_name("u", "o_custkey").alias("name")))
+    return R.survivors(packed, table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(_name("u", "o_custkey").alias("name")))
 
 
 @query("""WITH a AS (SELECT 'n' || n_nationkey AS name, 0 AS backend, CASE WHEN n_nationkey % 4 = 0 THEN 'n' || (n_nationkey + 1) END AS target_name, CASE WHEN n_nationkey % 4 <> 0 THEN 'a' || n_nationkey END AS target_id, n_nationkey AS k FROM nation WHERE n_nationkey % 2 = 0),
