@@ -167,8 +167,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER = r"[^a-z0-9\n.!?;:]+"
 CUT = r" *[.!?;:]* *\n[ \n]*|[.!?;:]+ +"
 END = r"^[ .!?;:]+|[ .!?;:]+$"
-#: Every known sentence has one of these words, which are the same before it is normalised; a text without any has no known sentence and needn't be cut.
-HINT = "licens|redistribut|copyright|permission|software|rights|warrant|" + "|".join(rf"(?<![a-z0-9]){w}(?![a-z0-9])" for w in ("mpl", "mit", "apache", "l?gpl", "agpl", "cc", "cc0", "bsd", "isc", "bsl", "unlicense", "epl", "zlib"))
+_WHOLE = r"mit(?=[^a-z0-9\n.!?;:]*(?:$|[\n.!?;:]|https?:))"
+#: Every known sentence has one of these words anywhere, or is at the beginning of a sentence one of those that begin with
+#: a licence's name (``mit``, which is a word elsewhere, the whole sentence).  Normalising changes none of this, so a text
+#: without any has no known sentence and needn't be cut.
+HINT = rf"licens|redistribut|copyright|permission|software|rights|warrant|distributed|(?:^|[\n.!?;:])[^a-z0-9]*(?:apache|{_WHOLE}|[la]?gpl|bsd|isc|bsl|epl|mpl|zlib|cc0)(?![a-z0-9])"
 
 
 _GAP = r"[ \n.!?;:]"
