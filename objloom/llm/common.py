@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 #: A word: lower-cased ASCII letters and digits, and everything outside ASCII.
 WORD_TABLE = bytes(
@@ -157,20 +156,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
 
 
 def least_hashed(rows: DataFrame, key: str, per_key: int, id_col: str) -> DataFrame:
-    """Rows whose id's hash is under twice the share wanted of their key: about 2 * per_key distinct ids of a key at most, found without a sort."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    share = counts.select(F.col(key), F.least(F.lit(1.0), 2.0 * per_key / F.col("_n")).alias("_share"))
+    """Rows whose id's hash (``_h``) is under twice the share wanted of their key, found without moving a row.
+
+    About 2 * per_key distinct ids of a key at most.  A first pass counts keys;
+    their shares, a row for each class or language, are broadcast.
+    """
     hashed = rows.withColumn("_h", F.xxhash64(id_col))
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).toArrow()
+    if not counts.num_rows:
+        return hashed.limit(0)
+    share = F.broadcast(rows.sparkSession.createDataFrame(counts).select(F.col(key), F.least(F.lit(1.0), 2.0 * per_key / F.col("_n")).alias("_share")))
     return hashed.join(share, key).where((F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)) < F.col("_share")).drop("_share")
 
 
-def bounded_sample(rows: DataFrame, key: str, per_key: int, id_col: str) -> DataFrame:
-    """At most per_key distinct ids of each key: those with the least hash.  What meets in one task is about 2 * per_key rows of a key."""
-    first = W.partitionBy(key).orderBy("_h", id_col)
-    passed = least_hashed(rows, key, per_key, id_col).dropDuplicates([key, id_col])
-    return passed.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_key).select(*rows.columns)
-
-
 #: Bounds of a fitting sample: bytes of a text, and of all texts of a class.
 TEXT_BYTES, CLASS_BYTES = 65_536, 8 << 20
 

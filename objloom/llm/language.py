@@ -40,8 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from objloom.llm.common import TEXT_BYTES, appended, bounded_sample, column, held_out
+from objloom.llm.common import TEXT_BYTES, appended, column, held_out, least_hashed
 
 FIT_DOCS = 1_500
 ROUNDS = 3
@@ -76,13 +77,16 @@ _BITS = 19
 
 
 class PieceTable:
-    """Open hash table from rolling hashes of substrings to piece numbers; 0 is 'no piece'."""
+    """Open hash table from rolling hashes of substrings to the vocabulary's trie: ``nodes`` gives 0 for what begins no piece, ``piece`` the piece that a node is."""
 
     def __init__(self, pieces: list[str]) -> None:
-        hashes = np.array([self._hash(p) for p in pieces], np.uint64)
+        number = {p: i + 1 for i, p in enumerate(pieces)}
+        known = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
+        hashes = np.array([self._hash(p) for p in known], np.uint64)
         self.longest = max(map(len, pieces), default=1)
+        self.piece = np.array([0, *(number.get(p, 0) for p in known)], np.int64)
         self.levels: list[tuple[np.uint64, np.ndarray, np.ndarray]] = []
-        left = np.arange(len(pieces))
+        left = np.arange(len(known))
         mult = _BASE
         while len(left):
             slot = ((hashes[left] * mult) >> np.uint64(64 - _BITS)).astype(np.int64)
@@ -101,6 +105,10 @@ class PieceTable:
         return h
 
     def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash; 0 is 'no piece'."""
+        return self.piece[self.nodes(h)]
+
+    def nodes(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), np.int32)
         for mult, keys, ids in self.levels:
             slot = ((h * mult) >> np.uint64(64 - _BITS)).astype(np.int64)
@@ -130,14 +138,20 @@ class Lattice:
         word = np.repeat(np.arange(len(words)), self.size)
         at = np.arange(len(chars)) - start[word]
         found = []
-        h = np.zeros(len(chars), np.uint64)
-        for k in range(min(table.longest, len(chars))):
-            n = len(chars) - k
-            h = h[:n] * _BASE + chars[k:]
-            piece = table.find(h)
-            inside = at[:n] + k < self.size[word[:n]]
-            keep = np.flatnonzero(inside if k == 0 else inside & (piece > 0))
-            found.append(np.stack([word[keep], at[keep], at[keep] + k + 1, piece[keep]]))
+        # places from which the trie still goes on, with the hash of what has been read there
+        open_, h = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+        for k in range(table.longest):
+            inside = at[open_] + k < self.size[word[open_]]
+            open_, h = open_[inside], h[inside]
+            if not len(open_):
+                break
+            h = h * _BASE + chars[open_ + k]
+            node = table.nodes(h)
+            piece = table.piece[node]
+            keep = np.flatnonzero(piece) if k else np.arange(len(open_))
+            place = open_[keep]
+            found.append(np.stack([word[place], at[place], at[place] + k + 1, piece[keep]]))
+            open_, h = open_[node > 0], h[node > 0]
         edges = np.concatenate(found, 1) if found else np.zeros((4, 0), np.int64)
         edges = edges[:, np.lexsort((edges[0], edges[2]))]
         self.word, self.begin, self.stop, self.piece = edges
@@ -236,9 +250,12 @@ def train(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = RO
 def fit(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_DOCS):
     """Fit on rows whose crc32(id as text) mod 4 is not 2."""
     spark = docs.sparkSession
-    own = docs.select(column(id_col).alias("_id"), column(lang_col).cast("string").alias("_lang"), column(text_col).alias("_text")).where("_lang IS NOT NULL AND _id IS NOT NULL").where(~held_out("_id", 4, 2))
-    picked = bounded_sample(own.select("_id", "_lang"), "_lang", per_language, "_id")
-    sample = own.where(F.octet_length("_text") <= TEXT_BYTES).join(picked, ["_id", "_lang"], "left_semi").groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
+    own = docs.select(column(id_col).alias("_id"), column(lang_col).cast("string").alias("_lang"), column(text_col).alias("_text"))
+    own = own.where("_lang IS NOT NULL AND _id IS NOT NULL AND _text IS NOT NULL").where(~held_out("_id", 4, 2)).where(F.octet_length("_text") <= TEXT_BYTES)
+    # of all texts only those that pass by their hash move, one for each id; about 2 * per_language of a language meet
+    passed = least_hashed(own, "_lang", per_language, "_id").groupBy("_lang", "_id", "_h").agg(F.min("_text").alias("_text"))
+    first = W.partitionBy("_lang").orderBy("_h", "_id")
+    sample = passed.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_language).select("_lang", "_text")
 
     def count(batches):
         counts: dict[str, Counter] = {}
