@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
+from collections.abc import Iterable
+from heapq import heappop, heappush
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -131,46 +134,79 @@ def commit(refs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
 # -- batches: one operation is refused in each round, so a store's batch is sequential
 
 
+class Op(NamedTuple):
+    """An operation of a batch."""
+
+    name: str
+    kind: str
+    new_id: str | None
+    old_id: str | None
+    new_target: str | None
+    old_target: str | None
+
+
 def _above(name: str) -> list[str]:
     """The proper path prefixes of a name."""
     parts = name.split("/")
     return ["/".join(parts[:i]) for i in range(1, len(parts))]
 
 
+def _count(counts: dict[str, int], key: str, n: int) -> None:
+    if left := counts.get(key, 0) + n:
+        counts[key] = left
+    else:
+        counts.pop(key, None)
+
+
 class _Names:
     """A multiset of names that tells in a few look-ups whether a name is a proper prefix of one or has one as its prefix."""
 
     def __init__(self, names) -> None:
-        self.own, self.above = Counter(), Counter()
+        self.own, self.above = {}, {}
         for n in names:
             self.add(n)
 
     def add(self, name: str, n: int = 1) -> None:
-        self.own[name] += n
+        _count(self.own, name, n)
         for p in _above(name):
-            self.above[p] += n
+            _count(self.above, p, n)
 
     def conflicts(self, name: str) -> bool:
-        return self.above[name] > 0 or any(self.own[p] > 0 for p in _above(name))
+        return name in self.above or any(p in self.own for p in _above(name))
+
+
+def _writes(op) -> bool:
+    return op.kind.startswith(("create", "update"))
 
 
 class _Store:
+    """A store's references, for batches one after another: a batch costs what its own operations touch, not what the store holds."""
+
     def __init__(self, refs: dict[str, tuple[str, str]]) -> None:
         self.refs, self.names = refs, _Names(refs)
 
-    def target(self, op) -> tuple[str | None, str | None]:
-        """Target name, or an error."""
+    def target(self, op, ends: dict | None = None) -> tuple[str | None, str | None]:
+        """Target name, or an error.  ``ends`` keeps where chains end, for as long as the references stay."""
         if op.kind.endswith("-symbolic"):
             return op.name, None
+        ends = {} if ends is None else ends
         cur, seen = op.name, set()
-        while (got := self.refs.get(cur)) and got[0] == "symbolic":
+        while True:
+            if end := ends.get(cur):
+                break
+            got = self.refs.get(cur)
+            if not got or got[0] != "symbolic":
+                end = (cur, got is not None, None)
+                break
             seen.add(cur)
             cur = got[1]
-            if cur == "":
-                return None, "ErrInvalidValue"
-            if cur in seen:
-                return None, "ErrSymbolicCycle"
-        return (cur, None) if got or op.kind == "create" else (None, "ErrReferenceNotFound")
+            if cur == "" or cur in seen:
+                end = (None, False, "ErrSymbolicCycle" if cur else "ErrInvalidValue")
+                break
+        for name in seen:
+            ends[name] = end
+        name, there, error = end
+        return (None, error) if error else (name, None) if there or op.kind == "create" else (None, "ErrReferenceNotFound")
 
     def old_value(self, op, target: str) -> str | None:
         have = self.refs.get(target)
@@ -182,14 +218,14 @@ class _Store:
         return want[2] if have[0] != want[0] else want[3] if have[1] != want[1] else None
 
     def first_error(self, ops: list) -> tuple[str, str] | None:
-        """(name, error) of preparing the operations together: an operation's name, or a conflicting target's."""
+        """(name, error) of preparing the operations together: an operation's name, or a conflicting target's.  This is a round as it is defined; ``run`` does all rounds of a batch."""
         targets: dict[str, object] = {}
         for op in ops:
             t, e = self.target(op)
             if e or t in targets:
                 return op.name, e or "ErrDuplicateUpdate"
             targets[t] = op
-        fresh = [t for t, op in targets.items() if op.kind.startswith(("create", "update"))]
+        fresh = [t for t, op in targets.items() if _writes(op)]
         gone = [t for t, op in targets.items() if op.kind.startswith("delete") and t in self.refs]
         written = _Names(fresh)
         for t in gone:
@@ -202,13 +238,97 @@ class _Store:
         return next(((op.name, e) for t, op in targets.items() if (e := self.old_value(op, t))), None)
 
     def apply(self, ops: list) -> None:
-        for op in ops:
-            t, _ = self.target(op)
+        """All the operations, on the targets that they have before any of them."""
+        ends: dict = {}
+        for op, t in [(op, self.target(op, ends)[0]) for op in ops]:
+            if op.kind.startswith("delete"):
+                if self.refs.pop(t, None):
+                    self.names.add(t, -1)
+            elif _writes(op):
+                if t not in self.refs:
+                    self.names.add(t)
+                self.refs[t] = ("symbolic", op.new_target) if op.kind.endswith("-symbolic") else ("direct", op.new_id)
+
+    def run(self, ops: list) -> list[tuple[str, str | None]]:
+        """(status, error) of each operation of a batch, which is applied.
+
+        By definition each round prepares what is left and drops the operation
+        of the first error, until there is none.  Targets and old values stay
+        the same in all rounds; conflicts change only around the one that was
+        dropped.  So the store's names are kept as the batch would leave them,
+        those written that conflict in a heap by their order, and a round looks
+        at its first.  A dropped deletion brings its name back, and with it
+        conflicts of names above and below it; nothing else adds any.
+        """
+        out: list[tuple[str, str | None]] = [("not-attempted", None)] * len(ops)
+        left, taken, ends = {}, set(), {}  # left: the target of each operation that is left
+        for i, op in enumerate(ops):
+            t, e = self.target(op, ends)
+            if e and e not in REJECTED:
+                out[i] = ("fatal", e)
+                out[i + 1 :] = [("not-attempted", e)] * (len(ops) - i - 1)
+                return out
+            if e or t in taken:
+                out[i] = ("rejected", e or "ErrDuplicateUpdate")
+            else:
+                taken.add(t)
+                left[i] = t
+        fresh = {t: i for i, t in left.items() if _writes(ops[i])}
+        change = {i: 1 if t in fresh else -1 for i, t in left.items() if t in fresh or (ops[i].kind.startswith("delete") and t in self.refs)}
+        for i, n in change.items():
+            self.names.add(left[i], n)
+        clashes = [i for t, i in fresh.items() if self.names.conflicts(t)]  # in order, so a heap
+        wrong = [(i, e) for i, t in left.items() if (e := self.old_value(ops[i], t))]
+        named: dict[str, Iterable[int]] | None = None
+        below: dict[str, list[int]] | None = None
+        done = 0  # of wrong
+        while True:
+            while clashes and not (clashes[0] in left and self.names.conflicts(left[clashes[0]])):
+                heappop(clashes)
+            while done < len(wrong) and wrong[done][0] not in left:
+                done += 1
+            if clashes:
+                name, error = left[clashes[0]], "NameConflictError"
+            elif done < len(wrong):
+                name, error = ops[wrong[done][0]].name, wrong[done][1]
+            else:
+                break
+            if named is None:  # the operations of each name, the last one first
+                named = defaultdict(list)
+                for i in reversed(left):
+                    named[ops[i].name].append(i)
+            own = named.get(name, [])
+            while own and own[-1] not in left:
+                own.pop()
+            if not own:  # a conflicting target that no operation is named after
+                for i in left:
+                    out[i] = ("not-attempted", error)
+                    if i in change:
+                        self.names.add(left[i], -change[i])
+                return out
+            at = own[-1]
+            out[at], t = ("rejected", error), left.pop(at)
+            if at in change:
+                self.names.add(t, -change[at])
+                if change[at] < 0:
+                    if below is None:
+                        below = defaultdict(list)
+                        for x, i in fresh.items():
+                            for p in _above(x):
+                                below[p].append(i)
+                    for i in [*(fresh[p] for p in _above(t) if p in fresh), *below.get(t, ())]:
+                        if i in left:
+                            heappush(clashes, i)
+        for i, t in left.items():
+            op = ops[i]
+            out[i] = ("applied", None)
             if op.kind.startswith("delete"):
                 self.refs.pop(t, None)
-            elif op.kind.startswith(("create", "update")):
+            elif i in change:
+                if t in self.refs:
+                    self.names.add(t, -1)  # it was there before
                 self.refs[t] = ("symbolic", op.new_target) if op.kind.endswith("-symbolic") else ("direct", op.new_id)
-        self.names = _Names(self.refs)
+        return out
 
 
 #: Errors for which an operation is refused; others end the batch.
@@ -217,45 +337,18 @@ REJECTED = {"ErrReferenceNotFound", "ErrCreateExists", "ErrDuplicateUpdate", "Er
 
 def run_batch(refs: dict[str, tuple[str, str]], ops: list) -> tuple[list[tuple[str, str | None]], dict]:
     """(status, error) of each operation, and the references after the batch."""
-    store, out = _Store(dict(refs)), [("not-attempted", None)] * len(ops)
-    left, targets = [], set()
-    for i, op in enumerate(ops):
-        t, e = store.target(op)
-        if e and e not in REJECTED:
-            out[i] = ("fatal", e)
-            out[i + 1 :] = [("not-attempted", e)] * (len(ops) - i - 1)
-            return out, store.refs
-        if e or t in targets:
-            out[i] = ("rejected", e or "ErrDuplicateUpdate")
-        else:
-            targets.add(t)
-            left.append(i)
-    while left:
-        bad = store.first_error([ops[i] for i in left])
-        if bad is None:
-            store.apply([ops[i] for i in left])
-            for i in left:
-                out[i] = ("applied", None)
-            break
-        name, error = bad
-        at = next((i for i in left if ops[i].name == name), None)
-        if at is None or error not in REJECTED:
-            for i in left:
-                out[i] = ("fatal" if i == at else "not-attempted", error)
-            break
-        out[at] = ("rejected", error)
-        left.remove(at)
-    return out, store.refs
+    store = _Store(dict(refs))
+    return store.run(ops), store.refs
 
 
 def batch(refs: DataFrame, updates: DataFrame) -> DataFrame:
     """(store, seq, name, status, error) of each store's batch; stores run apart, each in order of seq."""
 
     def run(key, ops: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        known = {r.name_: (r.kind, r.target_name if r.kind == "symbolic" else r.target_id) for r in own.rename(columns={"name": "name_"}).itertuples()}
-        rows = list(ops.sort_values("seq").rename(columns={"name": "name_"}).itertuples())
-        rows = [type("Op", (), {"name": r.name_, "kind": r.kind, "new_id": r.new_id, "old_id": r.old_id, "new_target": r.new_target, "old_target": r.old_target, "seq": r.seq}) for r in rows]
-        got, _ = run_batch(known, rows)
-        return pd.DataFrame([(key[0], r.seq, r.name, s, e) for r, (s, e) in zip(rows, got, strict=True)], columns=["store", "seq", "name", "status", "error"])
+        columns = (own[c].tolist() for c in ("name", "kind", "target_id", "target_name"))
+        known = {name: (kind, target if kind == "symbolic" else target_id) for name, kind, target_id, target in zip(*columns, strict=True)}
+        ops = ops.sort_values("seq", kind="stable")
+        got = _Store(known).run([*map(Op, *(ops[c].tolist() for c in Op._fields))])
+        return pd.DataFrame({"store": [key[0]] * len(ops), "seq": ops["seq"].array, "name": ops["name"].array, "status": [s for s, _ in got], "error": [e for _, e in got]})
 
     return updates.groupBy("store").cogroup(refs.groupBy("store")).applyInPandas(run, "store string, seq long, name string, status string, error string")

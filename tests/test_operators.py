@@ -2,6 +2,7 @@ import random
 import subprocess
 import os
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,67 @@ def test_batch():
     assert [s for s, _ in got] == ["not-attempted", "not-attempted"]
 
 
+def by_rounds(known, ops):
+    """A batch as it is defined: targets first, then rounds that each drop the first error's operation."""
+    store, out, left, targets = refs._Store(dict(known)), [("not-attempted", None)] * len(ops), [], set()
+    for i, o in enumerate(ops):
+        t, e = store.target(o)
+        if e and e not in refs.REJECTED:
+            return out[:i] + [("fatal", e)] + [("not-attempted", e)] * (len(ops) - i - 1), store.refs
+        if e or t in targets:
+            out[i] = ("rejected", e or "ErrDuplicateUpdate")
+        else:
+            targets.add(t)
+            left.append(i)
+    while bad := store.first_error([ops[i] for i in left]):
+        at = next((i for i in left if ops[i].name == bad[0]), None)
+        for i in [at] if at is not None else left:
+            out[i] = ("rejected" if at is not None else "not-attempted", bad[1])
+        if at is None:
+            return out, store.refs
+        left.remove(at)
+    store.apply([ops[i] for i in left])
+    for i in left:
+        out[i] = ("applied", None)
+    return out, store.refs
+
+
+def test_batches_one_after_another_are_as_defined():
+    """Random batches on one store, on names above and below each other, symbolic ones and deletions that are refused."""
+    r = random.Random(5)
+    names = ["a", "a/b", "a/b/c", "a/d", "b", "b/c", "H", "I", "J"]
+    seen = set()
+    for _ in range(4000):
+        target = lambda: r.choice([*names, *names, ""] if r.random() < 0.1 else names)
+        known = {n: ("symbolic", target()) if n in "HIJ" or r.random() < 0.1 else ("direct", r.choice("12")) for n in names if r.random() < 0.5}
+        store, before = refs._Store(dict(known)), dict(known)
+        for _ in range(3):
+            value = lambda: r.choice("12")
+            ops = [refs.Op(r.choice(names), r.choice(refs.KINDS), value(), value(), r.choice(names), r.choice(names)) for _ in range(r.choice([1, 2, 5, 9]))]
+            expected, after = by_rounds(before, ops)
+            assert (store.run(ops), store.refs) == (expected, after), (before, ops)
+            fresh = refs._Names(after)
+            assert (store.names.own, store.names.above) == (fresh.own, fresh.above)
+            assert refs.run_batch(before, ops) == (expected, after)
+            before = dict(after)
+            seen |= set(expected)
+    assert {e for _, e in seen} >= refs.REJECTED - {"ErrExpectedDirect"} and {s for s, _ in seen} == {"applied", "rejected", "fatal", "not-attempted"}
+
+
+def test_a_batch_of_many_refused_operations():
+    """Work grows with the operations, not with the rounds times the operations."""
+    n = 40_000
+    known = {f"refs/heads/u{i}": ("direct", "1") for i in range(n)}
+    ops = [refs.Op(f"refs/heads/u{i}", "delete" if i % 2 else "update", "2", "1" if i % 4 > 1 else "9", None, None) for i in range(n)]
+    ops += [refs.Op(f"refs/heads/u{i}/x", "create", "2", None, None, None) for i in range(n)]
+    begin = time.process_time()
+    got, after = refs.run_batch(known, ops)
+    assert time.process_time() - begin < 20
+    assert got[:n] == [("applied", None) if i % 4 == 3 else ("rejected", "WrongOldIDError" if i % 2 else "NameConflictError") for i in range(n)]
+    assert got[n:] == [("applied", None) if i % 4 == 3 else ("rejected", "NameConflictError") for i in range(n)]
+    assert len(after) == n
+
+
 def test_validated(spark):
     rows = [("refs/heads/a", "create", "1"), ("MERGE_HEAD", "create", "1"), ("bad..name", "update", "1"), ("HEAD", "create-symbolic", None, None, "refs/tags/x"), ("HEAD", "create-symbolic", None, None, "refs/heads/x"), ("refs/x", "delete", None, "1"), ("refs/../x", "delete", None, "1"), ("refs/heads/s", "create-symbolic", None, None, "")]
     got = [r.invalid for r in refs.validated(ops_frame(spark, rows)).orderBy("seq").collect()]
