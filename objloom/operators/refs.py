@@ -172,7 +172,14 @@ class _Names:
             _count(self.above, p, n)
 
     def conflicts(self, name: str) -> bool:
-        return name in self.above or any(p in self.own for p in _above(name))
+        if name in self.above:
+            return True
+        at = name.find("/")
+        while at >= 0:
+            if name[:at] in self.own:
+                return True
+            at = name.find("/", at + 1)
+        return False
 
 
 def _writes(op) -> bool:
@@ -189,6 +196,8 @@ class _Store:
         """Target name, or an error.  ``ends`` keeps where chains end, for as long as the references stay."""
         if op.kind.endswith("-symbolic"):
             return op.name, None
+        if (got := self.refs.get(op.name)) and got[0] == "direct":  # as most are
+            return op.name, None
         ends = {} if ends is None else ends
         cur, seen = op.name, set()
         while True:
@@ -249,6 +258,25 @@ class _Store:
                     self.names.add(t)
                 self.refs[t] = ("symbolic", op.new_target) if op.kind.endswith("-symbolic") else ("direct", op.new_id)
 
+    def step(self, op) -> tuple[str, str | None]:
+        """(status, error) of an operation on its own, which is applied: a batch of one."""
+        t, e = self.target(op)
+        if e:
+            return "rejected" if e in REJECTED else "fatal", e
+        writes = _writes(op)
+        if writes and self.names.conflicts(t):
+            return "rejected" if t == op.name else "not-attempted", "NameConflictError"
+        if e := self.old_value(op, t):
+            return "rejected", e
+        if writes:
+            if t not in self.refs:
+                self.names.add(t)
+            self.refs[t] = ("symbolic", op.new_target) if op.kind.endswith("-symbolic") else ("direct", op.new_id)
+        elif op.kind.startswith("delete"):
+            del self.refs[t]
+            self.names.add(t, -1)
+        return "applied", None
+
     def run(self, ops: list) -> list[tuple[str, str | None]]:
         """(status, error) of each operation of a batch, which is applied.
 
@@ -260,6 +288,8 @@ class _Store:
         at its first.  A dropped deletion brings its name back, and with it
         conflicts of names above and below it; nothing else adds any.
         """
+        if len(ops) == 1:
+            return [self.step(ops[0])]
         out: list[tuple[str, str | None]] = [("not-attempted", None)] * len(ops)
         left, taken, ends = {}, set(), {}  # left: the target of each operation that is left
         for i, op in enumerate(ops):

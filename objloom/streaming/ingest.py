@@ -10,11 +10,13 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from objloom.operators import packs, stores
-from objloom.operators.refs import run_batch
+from objloom.operators.refs import Op, _Store
 
 
 def packs_from(spark: SparkSession, folder: str, out: str, checkpoint: str, fmt: str = "sha1") -> StreamingQuery:
@@ -36,10 +38,8 @@ def objects_from(source: DataFrame, out: str, checkpoint: str, fmt: str = "sha1"
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class _Update:
-    def __init__(self, row) -> None:
-        self.name, self.kind, self.seq = row.ref_name, row.kind, row.seq
-        self.new_id, self.old_id, self.new_target, self.old_target = row.new_id, row.old_id, row.new_target, row.old_target
+#: Operations of a store that are Python objects at a time.
+LOG_ROWS = 10_000
 
 
 def ref_log(updates: DataFrame) -> DataFrame:
@@ -47,17 +47,21 @@ def ref_log(updates: DataFrame) -> DataFrame:
 
     Each update is an operation of its own, applied to its store's references
     in order of seq within a micro-batch.  A store's references are the state
-    of its key, so a restarted stream goes on from its checkpoint.
+    of its key, so a restarted stream goes on from its checkpoint.  They are
+    read and written once in a micro-batch; an update costs what it touches.
+    Updates wait for their order as Arrow columns.
     """
+    schema = pa.schema([("seq", pa.int64()), *((c, pa.large_string()) for c in Op._fields)])
 
     def run(key, frames, state):
-        refs = {k: tuple(v) for k, v in json.loads(state.get[0]).items()} if state.exists else {}
-        rows = pd.concat(list(frames)).astype(object).where(lambda x: x.notna(), None).sort_values("seq").rename(columns={"name": "ref_name"})
-        out = []
-        for row in rows.itertuples():
-            (status, error), refs = (lambda got, after: (got[0], after))(*run_batch(refs, [_Update(row)]))
-            out.append((key[0], row.seq, row.ref_name, status, error))
-        state.update((json.dumps(refs),))
-        yield pd.DataFrame(out, columns=["store", "seq", "name", "status", "error"])
+        store = _Store({k: tuple(v) for k, v in json.loads(state.get[0]).items()} if state.exists else {})
+        rows = pa.concat_tables([pa.Table.from_pandas(f[schema.names], schema, preserve_index=False) for f in frames]).combine_chunks()
+        order = pc.sort_indices(rows["seq"])
+        for at in range(0, len(order), LOG_ROWS):
+            seq, *columns = rows.take(order[at : at + LOG_ROWS]).columns
+            seq, columns = seq.to_pylist(), [c.to_numpy().tolist() for c in columns]
+            got = [*map(store.step, map(Op, *columns))]
+            yield pd.DataFrame({"store": [key[0]] * len(seq), "seq": seq, "name": columns[0], "status": [s for s, _ in got], "error": [e for _, e in got]})
+        state.update((json.dumps(store.refs),))
 
     return updates.groupBy("store").applyInPandasWithState(run, "store string, seq long, name string, status string, error string", "refs string", "append", "NoTimeout")

@@ -208,6 +208,40 @@ def test_streams(spark, tmp_path):
         (drop / "b.pack").write_bytes(C.build_pack([("blob", b"two")], "sha1"))
 
 
+def log_of(spark, path, rows):
+    """Write updates as a new file of the stream's folder."""
+    schema = "store string, seq long, kind string, name string, new_id string, old_id string, new_target string, old_target string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{path}/in")
+    ingest.ref_log(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+def test_a_log_goes_on_from_its_state(spark, tmp_path):
+    """Updates of two runs, in order of seq, against one batch for each."""
+    r = random.Random(3)
+    known, expected = {"x": {}, "y": {}}, {}
+    for part in range(2):
+        ops = [(r.choice("xy"), part * 100 + i, refs.Op(r.choice(["a", "a/b", "c", "H"]), r.choice(refs.KINDS), *r.choices("12", k=2), *r.choices(["a", "c", "H"], k=2))) for i in range(100)]
+        for s, seq, op in ops:
+            (expected[seq],), known[s] = refs.run_batch(known[s], [op])
+        rows = [(s, seq, op.kind, op.name, *op[2:]) for s, seq, op in ops]
+        r.shuffle(rows)
+        got = log_of(spark, tmp_path, rows)
+        assert {x.seq: (x.status, x.error) for x in got.collect()} == expected
+    assert {s for s, _ in expected.values()} >= {"applied", "rejected"}
+
+
+def test_a_log_of_many_references(spark, tmp_path):
+    """An update costs what it touches, not what its store holds."""
+    n = 20_000
+    known = spark.range(n).selectExpr("'s' AS store", "id AS seq", "'create' AS kind", "concat('refs/heads/u', id) AS name", "'1' AS new_id", "CAST(NULL AS string) AS old_id", "CAST(NULL AS string) AS new_target", "CAST(NULL AS string) AS old_target")
+    begin = time.monotonic()
+    got = log_of(spark, tmp_path, known.collect())
+    assert time.monotonic() - begin < 60
+    assert got.where("status = 'applied'").count() == n == got.count()
+
+
 def test_effective_config(spark):
     s = "ord long, section string, subsection string, key string, kind string, value string"
     common = spark.createDataFrame([(0, "core", "", "a", "string", "1"), (1, "extensions", "", "worktreeconfig", "string", "true")], s)
